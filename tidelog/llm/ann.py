@@ -185,6 +185,7 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 20, recall: float
     theirs = asked.join(per_leaf, "leaf").withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.col("n_q_blocks"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
     theirs = theirs.join(queries.select(F.col("vec_id").alias("query_id"), "v"), "query_id")
     keys = ["leaf", "block", "q_block"]
+    mine, theirs = mine.select(*keys, "vec_id", "v"), theirs.select(*keys, "query_id", "v")
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):

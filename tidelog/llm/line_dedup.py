@@ -78,11 +78,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls, text FROM documents),
-h AS (SELECT doc_id, ls, text, list_transform(ls, x -> md5(x)) AS hs FROM l),
-e AS (SELECT doc_id, ls, text, list_filter(range(1, len(ls) + 1), i -> i = len(ls) OR contains('01234', substr(md5(coalesce(CASE WHEN i > 1 THEN hs[i - 1] END, '') || hs[i]), 1, 1))) AS es FROM h),
+h AS (SELECT doc_id, ls, text, list_transform(ls, lambda x: md5(x)) AS hs FROM l),
+e AS (SELECT doc_id, ls, text, list_filter(range(1, len(ls) + 1), lambda i: i = len(ls) OR contains('01234', substr(md5(coalesce(CASE WHEN i > 1 THEN hs[i - 1] END, '') || hs[i]), 1, 1))) AS es FROM h),
 c AS (SELECT doc_id, unnest(range(1, len(es) + 1)) AS idx, ls, es FROM e),
 p AS (SELECT doc_id, idx, list_slice(ls, CASE WHEN idx > 1 THEN es[idx - 1] + 1 ELSE 1 END, es[idx]) AS own FROM c),
-t AS (SELECT doc_id, idx, array_to_string(own, chr(10)) AS part, len(list_filter(own, x -> regexp_matches(x, '[^\x20\x09-\x0D]'))) AS n, len(own) AS lines FROM p),
+t AS (SELECT doc_id, idx, array_to_string(own, chr(10)) AS part, len(list_filter(own, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS n, len(own) AS lines FROM p),
 r AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY doc_id, idx) AS k FROM t),
 g AS (SELECT doc_id, string_agg(part, chr(10) ORDER BY idx) FILTER (NOT (n >= 2 AND k > 1)) AS part FROM r GROUP BY doc_id),
 o AS (SELECT d.doc_id, d.text AS was, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(g.part, '') END AS text FROM documents d JOIN g USING (doc_id))
