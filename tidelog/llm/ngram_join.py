@@ -38,7 +38,7 @@ SETS = "node long, n long, shingles binary"
 
 
 def document_keys(docs: DataFrame) -> DataFrame:
-    """docs's doc_id with n_shingles (size of the set) and node (hash of the words; null for texts without words)."""
+    """docs's doc_id with n_words, n_shingles (size of the set) and node (hash of the words; null for texts without words)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, raw in W.steps(frames):
@@ -48,9 +48,9 @@ def document_keys(docs: DataFrame) -> DataFrame:
             first, second = W.sequence_keys(numbers, bounds)
             node = pd.array(W.signed(first ^ W.mix(second, 3)), dtype="Int64")
             node[n == 0] = pd.NA
-            yield pd.DataFrame({"doc_id": frame.doc_id.astype("Int64").to_numpy(dtype=object, na_value=None), "n_shingles": n.astype(np.int64), "node": node})
+            yield pd.DataFrame({"doc_id": frame.doc_id.astype("Int64").to_numpy(dtype=object, na_value=None), "n_words": np.diff(bounds), "n_shingles": n.astype(np.int64), "node": node})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_shingles long, node long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_words long, n_shingles long, node long")
 
 
 def _fragment_of(x: np.ndarray, fragments: int) -> np.ndarray:
