@@ -112,8 +112,11 @@ def wikilinks(markdown: Column) -> Column:
 def rule_facts(text: Column) -> Column:
     """array<struct<kind, value>> of what the rules find."""
     t = F.coalesce(text, F.lit(""))
-    found = [F.transform(F.regexp_extract_all(t, F.lit(p), 0), lambda x, k=k: F.struct(F.lit(k).alias("kind"), F.btrim(x, F.lit(" (\n\t")).alias("value"))) for k, p in RULES.items()]
-    return F.concat(*found)
+
+    def found(kind: str) -> Column:
+        return F.transform(F.regexp_extract_all(t, F.lit(RULES[kind]), 0), lambda x: F.struct(F.lit(kind).alias("kind"), F.btrim(x, F.lit(" (\n\t")).alias("value")))
+
+    return F.concat(*map(found, RULES))
 
 
 def subjects(query: Column) -> Column:

@@ -85,7 +85,8 @@ def match(df: DataFrame, body: dict) -> Column:
 def term(df: DataFrame, body: dict) -> Column:
     name, value = _one(body)
     value = value.get("value") if isinstance(value, dict) else value
-    if isinstance(value, str) and _is_text(df, name):
+    if _is_text(df, name):
+        value = str(value)
         return F.array_contains(raw_tokens(_column(df, name)), value) | (_column(df, name) == value)
     return _column(df, name) == F.lit(value)
 

@@ -14,6 +14,10 @@ def postings(docs: DataFrame, id_col: str, text: str, *, stem_words: bool = Fals
     return t.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
+def _times(array: str, word: str) -> Column:
+    return F.size(F.filter(array, lambda x: x == word))
+
+
 def bm25(docs: DataFrame, id_col: str, text: str, query: list[str], *, k1: float = 1.2, b: float = 0.75, stem_words: bool = False) -> DataFrame:
     """(id, score) of documents with any of the query's terms.
 
@@ -22,7 +26,7 @@ def bm25(docs: DataFrame, id_col: str, text: str, query: list[str], *, k1: float
     """
     terms = list(dict.fromkeys(query))
     ts = docs.select(F.col(id_col), tokens(F.col(text), stem_words=stem_words).alias("_t"))
-    counts = [F.size(F.filter("_t", lambda x, q=q: x == q)).alias(f"tf{i}") for i, q in enumerate(terms)]
+    counts = [_times("_t", q).alias(f"tf{i}") for i, q in enumerate(terms)]
     d = ts.select(id_col, F.size("_t").alias("dl"), *counts)
     df = [F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms))]
     corpus = d.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *df)
