@@ -46,7 +46,8 @@ def _column(df: DataFrame, name: str) -> Column:
 
 
 def _is_text(df: DataFrame, name: str) -> bool:
-    return name == "_all" or isinstance(df.schema[resolve_field(df, name)].dataType, TEXT_TYPES)
+    own = resolve_field(df, name)
+    return name == "_all" or (own is not None and isinstance(df.schema[own].dataType, TEXT_TYPES))
 
 
 def compile_query(df: DataFrame, query: dict[str, Any]) -> Column:

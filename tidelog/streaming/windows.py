@@ -38,7 +38,7 @@ def aggregate(kind: str, x: Column, ts: Column) -> Column:
 def windowed(events: DataFrame, *, size: str, kinds: dict[str, str], value: Column, ts: str = "_timestamp", step: str | None = None, gap: str | None = None, keys: list[Column] | None = None, watermark: str | None = None, where: Column | None = None) -> DataFrame:
     """(start, end, keys, aggregates) of tumbling windows of size, sliding ones with a step, or sessions that end after a gap.
 
-    On a stream give a watermark: rows later than it are dropped. kinds: name -> kind of aggregate.
+    On a stream give a watermark (rows later than it are dropped), and for sessions a key. kinds: name -> kind of aggregate.
     """
     df = events if where is None else events.where(where)
     if watermark:
