@@ -325,6 +325,9 @@ ORACLE_SQL = {
     "text_tokens": f"SELECT doc_id, CAST(len(t) AS INT) AS n, len(t) > 0 AS some, coalesce(t[1], '') AS first FROM (SELECT doc_id, {TOK} AS t FROM documents)",
     "text_intent": "SELECT * FROM (VALUES ('How many users?', 'numeric'), ('when did it start', 'temporal'), ('for how many days', 'temporal'), ('who is Anna', 'identity'), ('last time we met', 'temporal'), ('cost of 3 days', 'numeric')) v(q, intent)",
     "wikilinks": "SELECT * FROM (VALUES (0, 'user:luis,a'), (1, 'yes-1'), (2, 'y_z'), (3, 'closed'), (4, '')) v(id, links)",
+    "rule_extract": "SELECT doc_id, kind, count(*) AS n, min(trim(v, chr(32) || '(' || chr(10) || chr(9))) AS first FROM ("
+    + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{text.RULES[k].replace(chr(39), chr(39) * 2)}')) AS v FROM documents" for k in ("email", "url", "date"))
+    + ") GROUP BY doc_id, kind",
     "bm25": f"WITH t AS (SELECT doc_id, {TOK} AS t FROM documents), c AS (SELECT count(*) AS n, avg(len(t)) AS a FROM t), q AS (SELECT unnest([{', '.join(repr(w) for w in WORDS)}]) AS w), f AS (SELECT doc_id, w, len(list_filter(t, lambda x: x = w)) AS tf, len(t) AS dl FROM t, q), df AS (SELECT w, count(*) FILTER (WHERE tf > 0) AS d FROM f GROUP BY w) SELECT doc_id, round(sum(ln(1 + (n - d + 0.5) / (d + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 5) AS score FROM f JOIN df USING (w), c GROUP BY doc_id HAVING sum(tf) > 0",
     "text_phrase": f"SELECT doc_id FROM (SELECT doc_id, ' ' || array_to_string({TOK}, ' ') || ' ' AS t FROM documents) WHERE contains(t, ' nd nd ')",
     "knn_filtered": f"SELECT vec_id, round(1 - list_cosine_similarity({_E}, {_Q64}), 5) AS distance FROM embeddings WHERE label = 1 ORDER BY 1 - list_cosine_similarity({_E}, {_Q64}), vec_id LIMIT 10",
