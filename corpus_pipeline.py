@@ -20,28 +20,30 @@ from tidelog.llm.quality_classifier import fit, learnable, score_documents
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that the classifier predicts to be of low quality. Without labels all stay."""
     model = fit(docs, learnable(table(spark, sf_dir, "labels")))
-    return score_documents(docs, model).where("predicted = 1").select(*docs.columns)
+    rows = docs.select("text", F.struct("*").alias("_tidelog_row"))  # columns named score or predicted stay as they are
+    return score_documents(rows, model).where("predicted = 1").select("_tidelog_row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with repeated chunks of lines taken out; a document all of whose words went that way goes, and n_chars follows text."""
-    out = dedup_lines(docs)
-    blank = ~F.col("text").rlike(WORD)
-    out = out.where(~((F.col("removed_lines") > 0) & blank))
-    n = F.when(F.col("removed_lines") > 0, F.length("text")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", n.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    out = dedup_lines(docs.select("doc_id", "text", F.struct("*").alias("_tidelog_row")))
+    gone = F.col("removed_lines") > 0
+    out = out.where(~(gone & ~F.col("text").rlike(WORD)))
+    n_chars = F.when(gone, F.length("text")).otherwise(F.col("_tidelog_row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    own = {"text": F.col("text"), "n_chars": n_chars}
+    return out.select(*[own.get(c, F.col(f"_tidelog_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that near-duplicate links connect: the one with the smallest doc_id, one row of it."""
     groups = cut(jaccard_components(docs), "pipeline-groups")
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    out = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_tidelog_id")).distinct()
+    out = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_tidelog_id")), "left_semi")
     if groups.groupBy("doc_id").count().where("count > 1").isEmpty():
         return out
     # rows that repeat a doc_id and a text are one document
     w = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source")
-    return out.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+    return out.withColumn("_tidelog_k", F.row_number().over(w)).where("_tidelog_k = 1").drop("_tidelog_k")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

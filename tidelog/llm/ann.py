@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, table
+from .common import cut, drop_cut, ship_code, table
 
 
 class Tree:
@@ -132,6 +132,7 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 20, recall: float
     Either table empty: no rows.
     """
     spark = vectors.sparkSession
+    ship_code(spark)
     queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     out_schema = "query_id long, rank int, vec_id long, score double"
     dims = vectors.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()

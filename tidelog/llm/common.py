@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +35,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+_shipped: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Give the package to the executors' Python workers, once an application: they may not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    top = Path(__file__).resolve().parent.parent
+    handle, path = tempfile.mkstemp(prefix="tidelog-", suffix=".zip")
+    with os.fdopen(handle, "wb") as f, zipfile.ZipFile(f, "w") as z:
+        for source in sorted(top.rglob("*.py")):
+            z.write(source, str(source.relative_to(top.parent)))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, so a lost executor costs a re-read only."""
     spark = df.sparkSession

@@ -58,18 +58,17 @@ def dedup_lines(docs: DataFrame, *, min_lines: int = 2) -> DataFrame:
 
     Rows stay, also those whose text becomes empty. A null text stays null, with 0 lines. Rows equal in doc_id and text
     are one document that comes twice: they fare alike. An extra column named n_lines or removed_lines is replaced;
-    names that begin with an underscore are reserved. An empty table gives an empty one.
+    names that begin with _tidelog_ are reserved. An empty table gives an empty one.
     """
-    gone = repeated_chunks(docs, min_lines=min_lines).groupBy("doc_id", "_h").agg(F.collect_set("idx").alias("_gone"))
-    gone = gone.select(F.col("doc_id").alias("_d"), F.col("_h").alias("_g"), "_gone").hint("shuffle_hash")
+    gone = repeated_chunks(docs, min_lines=min_lines).groupBy("doc_id", "_h").agg(F.collect_set("idx").alias("_tidelog_gone"))
+    gone = gone.select(F.col("doc_id").alias("_tidelog_id"), F.col("_h").alias("_tidelog_hash"), "_tidelog_gone").hint("shuffle_hash")
     names = [c for c in docs.columns if c not in ("n_lines", "removed_lines")]
-    d = docs.select(*names, F.xxhash64("text").alias("_h"))
-    both = d.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g")), "left")
-    left = let(chunks(F.col("text")), lambda c: F.array_join(F.transform(F.filter(c, lambda x, i: ~F.array_contains("_gone", i)), lambda x: x["text"]), "\n"))
-    out = both.withColumn("_text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
+    both = docs.select(*names).join(gone, F.col("doc_id").eqNullSafe(F.col("_tidelog_id")) & (F.xxhash64("text") == F.col("_tidelog_hash")), "left")
+    left = let(chunks(F.col("text")), lambda c: F.array_join(F.transform(F.filter(c, lambda x, i: ~F.array_contains("_tidelog_gone", i)), lambda x: x["text"]), "\n"))
+    out = both.withColumn("_tidelog_text", F.when(F.col("_tidelog_gone").isNull(), F.col("text")).otherwise(left))
     count = lambda c: F.when(F.coalesce(F.length(c), F.lit(0)) == 0, 0).otherwise(F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit(""))) + 1).cast("long")
-    out = out.withColumn("n_lines", count(F.col("text"))).withColumn("removed_lines", F.col("n_lines") - count(F.col("_text")))
-    return out.select(*[F.col("_text").alias("text") if c == "text" else F.col(c) for c in names], "n_lines", "removed_lines")
+    out = out.withColumn("n_lines", count(F.col("text"))).withColumn("removed_lines", F.col("n_lines") - count(F.col("_tidelog_text")))
+    return out.select(*[F.col("_tidelog_text").alias("text") if c == "text" else F.col(c) for c in names], "n_lines", "removed_lines")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,15 +136,15 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """docs as the mix has them: a document's row comes as often as the mix takes it, on average over its words.
 
     The row comes floor(taken / size) times, and once more where a hash of the document falls below the fraction that is
-    left over, so that a source's words stay near its target; documents without words stay as they are. Extra columns are kept; columns named _id or _k are not allowed.
+    left over, so that a source's words stay near its target; documents without words stay as they are. Extra columns are kept; names that begin with _tidelog_ are reserved.
     """
-    kept = cut(docs.withColumn("_id", F.monotonically_increasing_id()), "mix-docs")
-    marked = kept.select(F.struct("doc_id", "_id").alias("doc_id"), "source", "text")
+    kept = cut(docs.withColumn("_tidelog_id", F.monotonically_increasing_id()), "mix-docs")
+    marked = kept.select(F.struct("doc_id", F.col("_tidelog_id").alias("_id")).alias("doc_id"), "source", "text")
     sizes, _, blocks, slots = mix(marked, **options)
     n = taken_words(sizes, blocks, slots).select(F.col("doc_id._id").alias("_id"), F.col("doc_id.doc_id").alias("_doc"), "source", "size", "taken")
-    n = n.select("_id", F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + F.pmod(F.xxhash64(F.lit(SEED), "source", "_doc", "size"), F.lit(65536)) / 65536)).cast("int").alias("_n"))
-    out = kept.join(n, "_id").where("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    return out.drop("_id", "_n", "_k")
+    n = n.select(F.col("_id").alias("_tidelog_id"), F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + F.pmod(F.xxhash64(F.lit(SEED), "source", "_doc", "size"), F.lit(65536)) / 65536)).cast("int").alias("_tidelog_n"))
+    out = kept.join(n, "_tidelog_id").where("_tidelog_n > 0").withColumn("_tidelog_k", F.explode(F.sequence(F.lit(1), F.col("_tidelog_n"))))
+    return out.drop("_tidelog_id", "_tidelog_n", "_tidelog_k")
 
 
 __all__ = ["draw", "drop_cut", "mix", "mix_documents", "op5_mix_sources", "permuted", "place", "taken_words", "targets"]

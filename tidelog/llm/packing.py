@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, ship_code, table
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary, row long"
 #: Entries of a worker's table of chunks and their ids; it starts anew beyond that.
@@ -115,6 +115,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, *, ranks_path: str |
     A null or empty text has the end id alone. row numbers the rows of an input partition, which tells repeated rows
     apart. doc_id may be null or repeat. Other columns aren't read; an empty table has no pieces.
     """
+    ship_code(docs.sparkSession)
     tail = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import ship_code, table
 
 #: Bytes of text that one step holds as numbers.
 STEP_BYTES = 2_000_000
@@ -65,6 +65,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, bound: int = 4000, terms: int = 4
     """Model of at most ``bound`` labelled rows: those of docs (doc_id, text) whose ids labels (doc_id, label) holds, by the
     smallest hash of doc_id. Labels other than 0 and 1, null ids and null texts are left out, an id with both labels too.
     None without a row of each label."""
+    ship_code(docs.sparkSession)
     own = labels.where("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("_other")).where("label = _other")
     some = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).select("doc_id", F.col("label").cast("int").alias("label"))
     picked = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(some), "doc_id")
@@ -114,6 +115,7 @@ def score_documents(docs: DataFrame, model: Model | None, *, k: int = 15, sharpn
     names = [f.name for f in kept]
     if model is None:
         return docs.select(*names, F.lit(0.5).alias("score"), F.lit(1).alias("predicted"))
+    ship_code(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

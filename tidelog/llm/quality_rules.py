@@ -98,7 +98,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, *, buckets: int = 16384,
 
     Added: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, score (double, mean
     log ratio of an n-gram, null without words), kept. A null or blank text has no words, fails the base rules and
-    isn't kept. Columns of docs that bear an added name are replaced. Equal rows get equal verdicts, each its own
+    isn't kept. Columns of docs that bear an added name are replaced; names that begin with _tidelog_ are reserved. Equal rows get equal verdicts, each its own
     row; an empty table gives an empty one.
     """
     weights, threshold = fit(docs, trusted, buckets=buckets, bound=bound, keep_z=keep_z)
@@ -116,10 +116,10 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, *, buckets: int = 16384,
             let(hashes, lambda h: F.struct(_repeat_words(h).alias("r"), _mean_units(_grams(h, buckets), weights).alias("s"))).alias("h"),
         )
 
-    out = docs.select(*rest, let(words(F.col("text")), figures).alias("_f"))
-    out = out.select(*rest, *[F.col(f"_f.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines")], F.col("_f.h.r").alias("n_repeat_words"), F.col("_f.h.s").alias("_s"))
+    out = docs.select(*rest, let(words(F.col("text")), figures).alias("_tidelog_f"))
+    out = out.select(*rest, *[F.col(f"_tidelog_f.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines")], F.col("_tidelog_f.h.r").alias("n_repeat_words"), F.col("_tidelog_f.h.s").alias("_tidelog_s"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    return out.select(*rest, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (F.col("_s") / UNIT).alias("score"), (~failed & F.coalesce(F.col("_s") >= threshold, F.lit(False))).alias("kept"))
+    return out.select(*rest, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (F.col("_tidelog_s") / UNIT).alias("score"), (~failed & F.coalesce(F.col("_tidelog_s") >= threshold, F.lit(False))).alias("kept"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
