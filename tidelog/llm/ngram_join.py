@@ -11,8 +11,8 @@ into it, counts partial overlaps there, and the counts are summed over fragments
 3. The others are hashed to a few min-hash buckets; in each, all are verified exactly against one hub (not against each
    other), links join components, and step 2 runs again with the new components: inside a large group of near copies
    nothing is left to find. This repeats while it finds links, for ``rounds`` rounds at most.
-4. What remains is joined exactly: each fragment counts the overlap of every pair of nodes of different components that
-   share a shingle there, counts are summed by pair, and the threshold decides.
+4. What remains is joined exactly: fragments count how frequent each shingle is, each node's rarest shingles (as many as a
+   link can't do without) make its pairs with nodes of other components, and those are verified.
 
 No link between different texts that would join two components is lost: only pairs already known to be connected are
 never compared. Fragments carry 32 bits of each shingle besides the fragment's number in step 2, where a collision can
@@ -29,17 +29,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordnum as W
-from .common import cut, drop_cut, table
+from .common import cut, drop_cut, ship_code, table
 from .components import connected_components
 
 #: Shingles that one fragment holds, about.
-FRAGMENT = 4_000_000
+FRAGMENT = 2_000_000
 SETS = "node long, n long, shingles binary"
 
 
 def document_keys(docs: DataFrame) -> DataFrame:
     """docs's doc_id with n_words, n_shingles (size of the set) and node (hash of the words; null for texts without words)."""
 
+    ship_code(docs.sparkSession)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, raw in W.steps(frames):
             numbers, bounds = W.words_of(raw)
@@ -68,8 +70,8 @@ def _fragments(shingles: float) -> int:
     return 1 << max(3, int(np.ceil(np.log2(max(1.0, shingles / FRAGMENT)))))
 
 
-def _split_rows(node: np.ndarray, label: np.ndarray, doc: np.ndarray, values: np.ndarray, fragments: int, wide: bool) -> pd.DataFrame:
-    """One row a fragment: the nodes (with labels) that have shingles in it, how many, and those."""
+def _split_rows(node: np.ndarray, label: np.ndarray | None, doc: np.ndarray, values: np.ndarray, fragments: int, wide: bool) -> pd.DataFrame:
+    """One row a fragment: the nodes (and their labels, if these are others) that have shingles in it, how many, and those."""
     fragment = _fragment_of(values, fragments)
     order = np.argsort(fragment, kind="stable")  # within a fragment by document
     fragment, doc, values = fragment[order], doc[order], values[order]
@@ -81,7 +83,7 @@ def _split_rows(node: np.ndarray, label: np.ndarray, doc: np.ndarray, values: np
             new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
             count = np.diff(np.concatenate([new, [len(own)]])).astype(np.uint32)
             part = values[at:to] if wide else _low(values[at:to], fragments)
-            rows.append((int(fragment[at]), W.signed(node)[own[new]].tobytes(), W.signed(label)[own[new]].tobytes(), count.tobytes(), part.tobytes()))
+            rows.append((int(fragment[at]), W.signed(node)[own[new]].tobytes(), b"" if label is None else W.signed(label)[own[new]].tobytes(), count.tobytes(), part.tobytes()))
     return pd.DataFrame(rows, columns=["fragment", "nodes", "labels", "counts", "shingles"])
 
 
@@ -103,7 +105,7 @@ def text_parts(docs: DataFrame, fragments: int) -> DataFrame:
                     fresh[i] = True
                     sent.add(x)
             doc, values = W.sorted_sets(*W.shingles_of(numbers, bounds), fresh)
-            yield _split_rows(node, node, doc, values, fragments, False)
+            yield _split_rows(node, None, doc, values, fragments, False)
 
     return docs.select("text").mapInPandas(run, PARTS)
 
@@ -126,10 +128,11 @@ def _read_parts(pdf: pd.DataFrame, wide: bool) -> tuple[np.ndarray, np.ndarray,
     """(node, label, shingle) of a fragment, without repeats, by shingle."""
     count = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["counts"]])
     node = np.repeat(np.concatenate([np.frombuffer(x, np.int64) for x in pdf["nodes"]]), count)
-    label = np.repeat(np.concatenate([np.frombuffer(x, np.int64) for x in pdf["labels"]]), count)
+    label = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["labels"]])
+    label = np.repeat(label, count) if len(label) else node
     value = np.concatenate([np.frombuffer(x, np.uint64 if wide else np.uint32) for x in pdf["shingles"]])
     order = np.lexsort((node, value)) if len(value) else np.zeros(0, np.int64)
-    node, label, value = node[order], label[order], value[order]
+    node, label, value = node[order], node[order] if label is node else label[order], value[order]
     keep = np.ones(len(value), bool)
     keep[1:] = (value[1:] != value[:-1]) | (node[1:] != node[:-1])
     return node[keep], label[keep], value[keep]
@@ -171,7 +174,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 
 def hub_pairs(sets: DataFrame, round_: int, threshold: int, keys: int = 4) -> DataFrame:
-    """(a, b): in each min-hash bucket of sets (SETS, label), its hub and every node of another label whose size allows a link."""
+    """(a, b): in each min-hash bucket of sets (SETS, label, shared), its hub and every node of another label whose figures allow a link."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -179,14 +182,15 @@ def hub_pairs(sets: DataFrame, round_: int, threshold: int, keys: int = 4) -> Da
             for x in f.shingles:
                 own = np.frombuffer(x, np.uint64)
                 out.append([int(W.signed(W.mix(own, 100 + round_ * keys + k).min(keepdims=True))[0]) for k in range(keys)])
-            yield f[["node", "label", "n"]].assign(keys=out)
+            yield f[["node", "label", "n", "shared"]].assign(keys=out)
 
-    buckets = sets.select("node", "label", "n", "shingles").mapInPandas(run, "node long, label long, n long, keys array<long>").select("node", "label", "n", F.posexplode("keys").alias("k", "key"))
+    buckets = sets.select("node", "label", "n", "shared", "shingles").mapInPandas(run, "node long, label long, n long, shared long, keys array<long>").select("node", "label", "n", "shared", F.posexplode("keys").alias("k", "key"))
     buckets = cut(buckets, "join-buckets")
-    place = F.struct(F.xxhash64("node", "k", F.lit(round_)).alias("h"), "node", "label", "n")
+    place = F.struct(F.xxhash64("node", "k", F.lit(round_)).alias("h"), "node", "label", "n", "shared")
     hubs = buckets.groupBy("k", "key").agg(F.min(place).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").select("k", "key", "hub")
     near = buckets.join(hubs, ["k", "key"]).where("label <> hub.label")
-    near = near.where(F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * threshold)
+    most = F.least("shared", "hub.shared")
+    near = near.where(100 * most >= threshold * (F.col("n") + F.col("hub.n") - most))
     return near.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
 
 
@@ -209,48 +213,66 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
-def exact_links(sets: DataFrame, threshold: int, fragments: int, block: int = 2_000_000) -> DataFrame:
-    """(a, b) of every link between nodes of different labels in sets (SETS, label): overlaps counted by fragment, summed by pair."""
+def exact_links(sets: DataFrame, threshold: int, fragments: int, block: int = 250_000) -> DataFrame:
+    """(a, b) of every link between nodes of different labels in sets (SETS, label, shared).
+
+    Fragments count how many nodes have each shingle. A node's shingles are then ordered by that count, those that no other
+    label has first; two nodes that link share a shingle among the first n - (least overlap) + 1 of both, so pairs are made
+    of these alone, in blocks, and verified. Frequent shingles come last and hardly ever make a pair; neither do nodes
+    whose overlap, at most the smaller number of shared shingles, is too small for their sizes.
+    """
 
-    def run(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    def counted(pdf: pd.DataFrame) -> pd.DataFrame:
         node, label, value = _read_parts(pdf, True)
-        keep = _foreign(node, label, value)
-        node, label, value = node[keep], label[keep], value[keep]
-        if not len(value):
-            return
-        names, at = np.unique(node, return_inverse=True)
+        start = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.zeros(0, np.int64)
+        n = np.diff(np.concatenate([start, [len(value)]]))
+        count = np.repeat(n, n).astype(np.uint32)
+        keep = np.flatnonzero(_foreign(node, label, value))
+        keep = keep[np.argsort(node[keep], kind="stable")]
+        node, value, count = node[keep], value[keep], count[keep]
+        cuts = np.flatnonzero(np.diff(node)) + 1
+        rows = [(int(node[at]), value[at:to].tobytes(), count[at:to].tobytes()) for at, to in zip([0, *cuts], [*cuts, len(node)], strict=True) if to > at]
+        return pd.DataFrame(rows, columns=["node", "shingles", "counts"])
+
+    def prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for node, label, n, shared, parts in zip(f.node, f.label, f.n, f.shared, f.parts, strict=True):
+                value = np.concatenate([np.frombuffer(x["shingles"], np.uint64) for x in parts])
+                count = np.concatenate([np.frombuffer(x["counts"], np.uint32) for x in parts])
+                first = n - -(-threshold * n // 100) + 1 - (n - len(value))
+                for v in W.signed(value[np.lexsort((value, count))[: max(0, first)]]).tolist():
+                    out.append((v, node, label, n, shared))
+            yield pd.DataFrame(out, columns=["shingle", "node", "label", "n", "shared"])
+
+    def paired(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["shingle", "node"])
+        value, label, n, shared = (pdf[c].to_numpy(np.int64) for c in ("shingle", "label", "n", "shared"))
+        names, at = np.unique(pdf.node.to_numpy(np.int64), return_inverse=True)
         start = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
         end = np.concatenate([start[1:], [len(value)]])
         # each row of a shingle meets those after it; as many rows at a time as make a block of pairs
         later = np.repeat(end, end - start) - np.arange(len(value)) - 1
         total = np.concatenate([[0], np.cumsum(later)])
-        row = 0
+        found, row = np.zeros(0, np.int64), 0
         while row < len(value):
             to = max(row + 1, int(np.searchsorted(total, total[row] + block, "right")) - 1)
-            n = later[row:to]
-            i = np.repeat(np.arange(row, to), n)
-            j = i + 1 + np.arange(len(i)) - np.repeat(total[row:to] - total[row], n)
-            apart = label[i] != label[j]
-            if apart.any():
-                pair, count = np.unique(at[i[apart]] * len(names) + at[j[apart]], return_counts=True)
-                yield pd.DataFrame({"a": names[pair // len(names)], "b": names[pair % len(names)], "same": count})
+            i = np.repeat(np.arange(row, to), later[row:to])
+            j = i + 1 + np.arange(len(i)) - np.repeat(total[row:to] - total[row], later[row:to])
+            ok = label[i] != label[j]
+            i, j = i[ok], j[ok]
+            most = np.minimum(shared[i], shared[j])
+            ok = 100 * most >= threshold * (n[i] + n[j] - most)
+            if ok.any():
+                found = np.union1d(found, at[i[ok]] * len(names) + at[j[ok]])
             row = to
+        return pd.DataFrame({"a": names[found // len(names)], "b": names[found % len(names)]})
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield from run(f)
-
-    parts = set_parts(sets, fragments).groupBy("fragment").agg(*[F.collect_list(c).alias(c) for c in ("nodes", "labels", "counts", "shingles")])
-
-    def unpacked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for r in f.itertuples():
-                yield pd.DataFrame({"nodes": list(r.nodes), "labels": list(r.labels), "counts": list(r.counts), "shingles": list(r.shingles)})
-
-    counts = parts.mapInPandas(lambda frames: each(unpacked(frames)), "a long, b long, same long").groupBy("a", "b").agg(F.sum("same").alias("same"))
-    size = sets.select("node", "n")
-    both = counts.join(size.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-    return both.where(100 * F.col("same") >= threshold * (F.col("na") + F.col("nb") - F.col("same"))).select("a", "b")
+    shared = set_parts(sets, fragments).groupBy("fragment").applyInPandas(counted, "node long, shingles binary, counts binary")
+    whole = shared.groupBy("node").agg(F.collect_list(F.struct("shingles", "counts")).alias("parts")).join(sets.select("node", "label", "n", "shared"), "node")
+    rows = whole.select("node", "label", "n", "shared", "parts").mapInPandas(prefixes, "shingle long, node long, label long, n long, shared long")
+    found = rows.withColumn("fragment", F.pmod(F.xxhash64("shingle"), F.lit(16 * fragments))).groupBy("fragment").applyInPandas(paired, "a long, b long").distinct()
+    return verified(cut(found, "join-pairs"), sets, threshold)
 
 
 def jaccard_components(docs: DataFrame, *, threshold: int = 80, rounds: int = 3) -> DataFrame:
@@ -264,10 +286,10 @@ def jaccard_components(docs: DataFrame, *, threshold: int = 80, rounds: int = 3)
     words = keys.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     nodes = keys.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"))
     shared = shared_counts(text_parts(docs, _fragments(words)), False)
-    left = shared.join(nodes, "node").where(F.col("shared") * 100 >= F.col("n") * threshold).select("node", "doc_id")
+    left = shared.join(nodes, "node").where(F.col("shared") * 100 >= F.col("n") * threshold).select("node", "doc_id", "shared")
     left = cut(left, "join-left")
     one = docs.select("doc_id", "text").join(left.select("doc_id"), "doc_id", "left_semi").unionByName(docs.select("doc_id", "text").where("doc_id IS NULL"))
-    sets = cut(shingle_sets(one).join(left.select("node"), "node", "left_semi").dropDuplicates(["node"]), "join-sets")
+    sets = cut(shingle_sets(one).dropDuplicates(["node"]).join(left.select("node", "shared"), "node"), "join-sets")
     links = []
     labels = None
     for r in range(rounds + 1):
@@ -275,7 +297,7 @@ def jaccard_components(docs: DataFrame, *, threshold: int = 80, rounds: int = 3)
         if r:
             total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
             shared = shared_counts(set_parts(current, _fragments(total)), True)
-            current = current.join(shared, "node").where(F.col("shared") * 100 >= F.col("n") * threshold).drop("shared")
+            current = current.drop("shared").join(shared, "node").where(F.col("shared") * 100 >= F.col("n") * threshold)
         current = cut(current, "join-current")
         n, total = current.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
         if not n:
