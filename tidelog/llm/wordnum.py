@@ -24,7 +24,7 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
-_COEF = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+COEFFICIENTS = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -67,7 +67,7 @@ def shingles_of(numbers: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np
     n = np.diff(bounds)
     if len(numbers) >= SHINGLE:
         m = len(numbers) - SHINGLE + 1
-        every = sum((numbers[k : m + k] * _COEF[k] for k in range(1, SHINGLE)), numbers[:m] * _COEF[0])
+        every = sum((numbers[k : m + k] * COEFFICIENTS[k] for k in range(1, SHINGLE)), numbers[:m] * COEFFICIENTS[0])
         every = mix(every)
     else:
         every = np.zeros(0, np.uint64)
@@ -80,7 +80,7 @@ def shingles_of(numbers: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np
     out[long] = every[at[long]]
     for i in np.flatnonzero((n > 0) & (n < SHINGLE)):
         own = numbers[bounds[i] : bounds[i + 1]]
-        out[out_bounds[i]] = mix((own * _COEF[: len(own)]).sum(dtype=np.uint64, keepdims=True), int(len(own)))[0]
+        out[out_bounds[i]] = mix((own * COEFFICIENTS[: len(own)]).sum(dtype=np.uint64, keepdims=True), int(len(own)))[0]
     return out, out_bounds
 
 
