@@ -60,6 +60,12 @@ def test_rules_without_anything(spark):
     assert R.quality_rules(one, none.select("doc_id")).first().kept
 
 
+def test_all_trusted_documents_count(spark):
+    """Where all documents are trusted, however many, both models are one and no score is other than 0."""
+    df = spark.range(20_500).selectExpr("id AS doc_id", "concat('w', id % 50, ' v', id % 7) AS text")
+    assert [r.score for r in R.quality_rules(df, df.select("doc_id"), buckets=512).select("score").distinct().collect()] == [0.0]
+
+
 def test_classifier_on_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = C.op8_quality_classifier(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()

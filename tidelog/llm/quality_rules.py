@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, let, table, words
+from .common import WORD, cut, drop_cut, let, table, words
 
 #: Log ratios are integers in this unit.
 UNIT = 1_000_000
@@ -61,26 +61,29 @@ def _word_hashes(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
-def fit(docs: DataFrame, trusted: DataFrame, *, buckets: int = 16384, bound: int = 20_000, keep_z: float = 3.0) -> tuple[Column, int]:
+def fit(docs: DataFrame, trusted: DataFrame, *, buckets: int = 16384, keep_z: float = 3.0) -> tuple[Column, int]:
     """(weights, threshold) of the log-likelihood ratio.
 
-    trusted: doc_id of trusted documents; the ``bound`` of them with the smallest hash are used, so that
-    their ids can be broadcast. The raw model counts all documents. The threshold is the trusted scores'
+    trusted: doc_id of trusted documents, all of which are used. The raw model counts all documents. The threshold is the trusted scores'
     mean less ``keep_z`` standard deviations. Without any words or trusted documents the weights are 0 and
     the threshold is 0: every document passes.
     """
-    ids = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    marked = docs.select("doc_id", "text").join(F.broadcast(ids.withColumn("_t", F.lit(1))), "doc_id", "left")
-    grams = marked.select(F.coalesce("_t", F.lit(0)).alias("t"), F.explode(_grams(_word_hashes(F.col("text")), buckets)).alias("b"))
-    rows = grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target")).collect()  # at most one row a bucket
-    raw, target = [0] * buckets, [0] * buckets
-    for r in rows:
-        raw[r["b"]], target[r["b"]] = r["raw"], r["target"]
+    ids = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct()
+    own = cut(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text"), "rules-trusted")
+
+    def counts(d: DataFrame) -> list[int]:
+        n = [0] * buckets
+        for r in d.select(F.explode(_grams(_word_hashes(F.col("text")), buckets)).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect():  # at most one row a bucket
+            n[r["b"]] = r["n"]
+        return n
+
+    raw, target = counts(docs), counts(own)
     n_raw, n_target = sum(raw) + buckets, sum(target) + buckets
     units = [round(UNIT * (math.log((t + 1) / n_target) - math.log((r + 1) / n_raw))) if n_target > buckets else 0 for t, r in zip(target, raw, strict=True)]
     weights = F.split(F.lit(",".join(map(str, units))), ",").cast("array<int>")
-    own = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").select(_mean_units(_grams(_word_hashes(F.col("text")), buckets), weights).alias("s")).where("s IS NOT NULL")
-    x = own.agg(F.count("s").alias("n"), F.sum("s").alias("a"), F.sum(F.col("s").cast("decimal(38,0)") * F.col("s")).alias("q")).first()
+    scores = own.select(_mean_units(_grams(_word_hashes(F.col("text")), buckets), weights).alias("s")).where("s IS NOT NULL")
+    x = scores.agg(F.count("s").alias("n"), F.sum("s").alias("a"), F.sum(F.col("s").cast("decimal(38,0)") * F.col("s")).alias("q")).first()
+    drop_cut(own)
     if not x["n"]:
         return weights, 0
     mean = x["a"] / x["n"]
@@ -93,7 +96,7 @@ def _mean_units(grams: Column, weights: Column) -> Column:
     return let(grams, lambda g: F.when(F.size(g) > 0, F.floor(total(g) / F.size(g)).cast("long")))
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, *, buckets: int = 16384, bound: int = 20_000, keep_z: float = 3.0, min_words: int = 10, max_repeat_percent: int = 20) -> DataFrame:
+def quality_rules(docs: DataFrame, trusted: DataFrame, *, buckets: int = 16384, keep_z: float = 3.0, min_words: int = 10, max_repeat_percent: int = 20) -> DataFrame:
     """docs (doc_id, text, ...) with the rules' figures and the verdict added; other columns are left alone.
 
     Added: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, score (double, mean
@@ -101,7 +104,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, *, buckets: int = 16384,
     isn't kept. Columns of docs that bear an added name are replaced; names that begin with _tidelog_ are reserved. Equal rows get equal verdicts, each its own
     row; an empty table gives an empty one.
     """
-    weights, threshold = fit(docs, trusted, buckets=buckets, bound=bound, keep_z=keep_z)
+    weights, threshold = fit(docs, trusted, buckets=buckets, keep_z=keep_z)
     text = F.coalesce(F.col("text"), F.lit(""))
     rest = [c for c in docs.columns if c not in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")]
 
