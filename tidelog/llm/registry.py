@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
+from . import pipeline
 from .ann import op1_nearest_vectors
 from .chat_format import op3_chat_windows
 from .line_dedup import OP4_SQL, op4_line_dedup
@@ -29,5 +28,5 @@ QUERIES = {
         op9_quality_rules,
         op10_substring_dedup,
     )
-} | {"pipeline": corpus_pipeline.run}
+} | {"pipeline": pipeline.run}
 ORACLE_SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op7_revisit_resolution": OP7_SQL}

@@ -1,65 +1,81 @@
 """Words and 5-word shingles of many texts at once, as 64-bit numbers in numpy.
 
-All arithmetic is modulo 2**64. A word's number is a polynomial hash of its bytes after A-Z become a-z, mixed; equal
-words have equal numbers, and different ones differ but for one chance in 2**64 a pair.
+A word's number is made of its bytes after A-Z become a-z: 8 bytes at a time are mixed, together with the word's length
+and the 8 bytes before them, by a bijection; a word of more than 64 bytes is hashed by blake2b. Words of up to 8 bytes that
+are equally long never share a number, others do by chance only. Sequences are sums of numbers mixed with their place, so
+no pattern of words cancels out.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 
-#: Bytes of text that a step turns into numbers at once; a longer text is a step of its own.
+#: Bytes of text that a step turns into numbers at once; a longer text is a step of its own, cut between words.
 STEP_BYTES = 2_000_000
 SHINGLE = 5
+#: Bytes beyond which a word is hashed alone.
+LONG_WORD = 64
 
 _rng = np.random.default_rng(20240607)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-_LOWER = np.arange(256)
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE = _BYTE[_LOWER]
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
-_P = 0x9E3779B97F4A7C15 | 1
-_P_INV = pow(_P, -1, 1 << 64)
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+_FIRST_BYTES = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+_GOLD = 0x9E3779B97F4A7C15
 COEFFICIENTS = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of P and of its inverse, from 0 to n - 1."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_P, _P_INV)):
-            x = np.full(n, base, np.uint64)
-            x[0] = 1
-            _powers[k] = np.multiply.accumulate(x)
-    return _powers[0][:n], _powers[1][:n]
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijection of 64-bit numbers whose every output bit depends on every input bit."""
-    x = x + np.uint64((0x9E3779B97F4A7C15 * (salt + 1)) & ((1 << 64) - 1))
+    x = x + np.uint64((_GOLD * (salt + 1)) & ((1 << 64) - 1))
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(numbers of all words in order, bounds): text i has the words from bounds[i] to bounds[i + 1]."""
-    raw = b" ".join(texts) + b" "
+def _numbers(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, starts) of the words in raw, which ends in a blank."""
     b = np.frombuffer(raw, np.uint8)
-    begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
     blank = _BLANK[b]
     edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
     if len(b) and not blank[0]:
         edge = np.concatenate([[0], edge])
     start, end = edge[::2], edge[1::2]
-    p, inv = _power(len(b) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[b] * p[:-1])])
-    numbers = mix((total[end] - total[start]) * inv[start])
-    return numbers, np.searchsorted(start, begin)
+    size = end - start
+    low = np.concatenate([_LOWER[b], np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(b) + 1,), "<u8", low, 0, (1,))  # the 8 bytes that begin at each place
+    out = mix((eight[start] & _FIRST_BYTES[np.minimum(size, 8)]) + size.astype(np.uint64) * COEFFICIENTS[0])
+    rest = np.flatnonzero((size > 8) & (size <= LONG_WORD))
+    k = 8
+    while len(rest):
+        out[rest] = mix(out[rest] * COEFFICIENTS[1] + (eight[start[rest] + k] & _FIRST_BYTES[np.minimum(size[rest] - k, 8)]), k)
+        k += 8
+        rest = rest[size[rest] > k]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(low[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out, start
+
+
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of all words in order, bounds): text i has the words from bounds[i] to bounds[i + 1]."""
+    raw = b" ".join(texts) + b" "
+    begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]) if texts else np.zeros(1, np.int64)
+    numbers, starts, at = [], [], 0
+    while at < len(raw):
+        gap = _GAP.search(raw, at + STEP_BYTES) if len(raw) - at > 2 * STEP_BYTES else None
+        to = gap.end() if gap else len(raw)
+        x, start = _numbers(raw[at:to])
+        numbers.append(x)
+        starts.append(start + at)
+        at = to
+    return np.concatenate(numbers), np.searchsorted(np.concatenate(starts), begin)
 
 
 def shingles_of(numbers: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,11 +103,10 @@ def shingles_of(numbers: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np
 def sequence_keys(numbers: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit numbers of each text's whole sequence of words."""
     n = np.diff(bounds)
-    place = np.arange(len(numbers)) - np.repeat(bounds[:-1], n)
-    p, _ = _power(int(place.max()) + 2 if len(place) else 1)
+    place = (np.arange(len(numbers)) - np.repeat(bounds[:-1], n)).astype(np.uint64)
     out = []
     for salt in (1, 2):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(numbers, salt) * p[place + 1])]) if len(numbers) else np.zeros(1, np.uint64)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(numbers ^ mix(place, 10 + salt), salt))])
         out.append(mix(total[bounds[1:]] - total[bounds[:-1]] + n.astype(np.uint64), salt))
     return out[0], out[1]
 
