@@ -1,76 +1,5 @@
-"""From raw documents to packed training sequences, in five stages.
+"""From raw documents to packed training sequences: STAGES, run(spark, sf_dir) and ORACLE_SQL. The stages are in tidelog.llm.pipeline."""
 
-Each stage is (name, function); a function takes (spark, docs, sf_dir), where docs is what the stage before it wrote, and
-returns a DataFrame. All but the last return the columns of documents.
-"""
+from tidelog.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-from tidelog.llm.common import WORD, cut, table
-from tidelog.llm.line_dedup import dedup_lines
-from tidelog.llm.mixing import mix_documents
-from tidelog.llm.ngram_join import jaccard_components
-from tidelog.llm.packing import pack_rows, tokenizer_file
-from tidelog.llm.quality_classifier import fit, learnable, score_documents
-
-
-def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those that the classifier predicts to be of low quality. Without labels all stay."""
-    model = fit(docs, learnable(table(spark, sf_dir, "labels")))
-    rows = docs.select("text", F.struct("*").alias("_tidelog_row"))  # columns named score or predicted stay as they are
-    return score_documents(rows, model).where("predicted = 1").select("_tidelog_row.*")
-
-
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with repeated chunks of lines taken out; a document all of whose words went that way goes, and n_chars follows text."""
-    out = dedup_lines(docs.select("doc_id", "text", F.struct("*").alias("_tidelog_row")))
-    gone = F.col("removed_lines") > 0
-    out = out.where(~(gone & ~F.col("text").rlike(WORD)))
-    n_chars = F.when(gone, F.length("text")).otherwise(F.col("_tidelog_row.n_chars")).cast(docs.schema["n_chars"].dataType)
-    own = {"text": F.col("text"), "n_chars": n_chars}
-    return out.select(*[own.get(c, F.col(f"_tidelog_row.`{c}`")).alias(c) for c in docs.columns])
-
-
-def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that near-duplicate links connect: the one with the smallest doc_id, one row of it."""
-    groups = cut(jaccard_components(docs), "pipeline-groups")
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_tidelog_id")).distinct()
-    out = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_tidelog_id")), "left_semi")
-    if groups.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return out
-    # rows that repeat a doc_id and a text are one document
-    w = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source")
-    return out.withColumn("_tidelog_k", F.row_number().over(w)).where("_tidelog_k = 1").drop("_tidelog_k")
-
-
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs as often as the mix of their sources takes them."""
-    return mix_documents(docs)
-
-
-def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of docs and their places in sequences."""
-    return pack_rows(docs, tokenizer_file(), ranks_path=tokenizer_file("byte_bpe_50k.tiktoken"))
-
-
-STAGES = [
-    ("quality_classifier", quality_classifier),
-    ("line_dedup", line_dedup),
-    ("ngram_jaccard", ngram_jaccard),
-    ("mixing", mixing),
-    ("best_fit_packing", best_fit_packing),
-]
-
-#: The classifier's neighbours and the packing's ids are beyond SQL: tests hold the stages against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over the table documents; every stage's result is written and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
