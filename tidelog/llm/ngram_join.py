@@ -205,15 +205,32 @@ def _foreign(node: np.ndarray, label: np.ndarray, value: np.ndarray) -> tuple[np
 def text_shared(docs: DataFrame, fragments: int, frequent: np.ndarray) -> DataFrame:
     """(k1, shared): shingles of each text that texts of another k1 have, too, counted in each fragment and summed."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def packed(node: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+        """One row for each share of the nodes, so that a fragment's counts travel as few rows."""
+        to = (node.view(np.uint64) % np.uint64(fragments)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        cuts = np.flatnonzero(np.diff(to[order])) + 1
+        rows = [(int(to[x[0]]), node[x].tobytes(), n[x].astype(np.uint32).tobytes()) for x in np.split(order, cuts) if len(x)]
+        return pd.DataFrame(rows, columns=["share", "nodes", "counts"])
+
+    def unpacked(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([np.frombuffer(x, np.int64) for x in pdf["nodes"]]), np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["counts"]]).astype(np.int64)
+
+    def counted(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf.fragment.iloc[0] < 0:  # a node that several tasks sent has as many frequent shingles in each of them
-            f = pd.DataFrame({"k1": np.concatenate([np.frombuffer(x, np.int64) for x in pdf["nodes"]]), "shared": np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["counts"]]).astype(np.int64)})
-            return f.drop_duplicates("k1")
+            node, n = unpacked(pdf)
+            node, first = np.unique(node, return_index=True)
+            return packed(node, n[first])
         node, label, value = _read_parts(pdf, False)
-        own, n = np.unique(node[_foreign(node, label, value)[0]], return_counts=True)
-        return pd.DataFrame({"k1": own, "shared": n.astype(np.int64)})
+        return packed(*np.unique(node[_foreign(node, label, value)[0]], return_counts=True))
+
+    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
+        node, n = unpacked(pdf)
+        node, of = np.unique(node, return_inverse=True)
+        return pd.DataFrame({"k1": node, "shared": np.bincount(of, weights=n, minlength=len(node)).astype(np.int64)})
 
-    return text_parts(docs, fragments, frequent).groupBy("fragment").applyInPandas(run, "k1 long, shared long").groupBy("k1").agg(F.sum("shared").alias("shared"))
+    partial = text_parts(docs, fragments, frequent).groupBy("fragment").applyInPandas(counted, "share long, nodes binary, counts binary")
+    return partial.groupBy("share").applyInPandas(summed, "k1 long, shared long")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
