@@ -66,6 +66,41 @@ def test_query(spark, sf):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, M.op5_mix_sources(spark, sf).collect()))
 
 
+def test_draws(spark):
+    """Shards' counts vary as draws do, another seed draws others, sources get their quotas and blocks their turns."""
+    quotas = spark.createDataFrame([(0, 3000), (1, 500), (2, 0), (3, 1)], "sid long, quota long")
+    got = [{(r.shard, r.sid): r.m for r in M.shard_counts(quotas, 100, seed).groupBy("shard", "sid").agg({"n": "sum"}).withColumnRenamed("sum(n)", "m").collect()} for seed in (1, 1, 2)]
+    assert got[0] == got[1] != got[2]
+    for g in got:
+        assert {s: sum(n for (_, x), n in g.items() if x == s) for s in range(4)} == {0: 3000, 1: 500, 2: 0, 3: 1}
+        per = [sum(n for (k, _), n in g.items() if k == shard) for shard in range(36)]
+        assert per == [100] * 35 + [1]
+        assert len({n for (_, s), n in g.items() if s == 0}) > 5
+    sources = spark.createDataFrame([(0, "a", 1600, 3000), (1, None, 900, 500)], "sid long, source string, blocks long, quota long")
+    plans = [sorted(tuple(r) for r in M.draw(sources, 100, seed).collect()) for seed in (1, 2)]
+    assert plans[0] != plans[1]
+    times = {}
+    for _, sid, block, _ in plans[0]:
+        times[sid, block] = times.get((sid, block), 0) + 1
+    assert {times.get((0, b), 0) for b in range(1600)} == {1, 2} and max(times.get((1, b), 0) for b in range(900)) == 1
+
+
+def test_mix_is_what_blocks_hold(spark, sf):
+    """Rows of the mix are runs of words of their documents, and hold as many words as the blocks taken."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    sizes, _, blocks, slots = M.mix(docs)
+    taken = {r.doc_id: r.taken for r in M.taken_words(sizes, blocks, slots).collect()}
+    got, whole = {}, 0
+    for r in M.mix_documents(docs).collect():
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+        got[r.doc_id] = got.get(r.doc_id, 0) + n
+        whole += r.text == text[r.doc_id]
+        assert r.text is None or (r.text in text[r.doc_id] and r.n_chars == len(r.text))
+    assert whole > 0.2 * len(text)
+    assert {d: n for d, n in got.items() if n} == {d: n for d, n in taken.items() if n}
+
+
 def test_edges(spark):
     rows = [(1, "a b c", "x", "q", 1), (1, "a b c", "x", "q", 1), (None, "d", None, None, None), (3, None, "x", "", 2), (4, " \n", "empty", "", 2)]
     sizes, sources, blocks, slots = M.mix(spark.createDataFrame(rows, DOCS))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -26,10 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
+    """The folder that all executors share; one of our own only where the session names none and runs in this process alone."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="tidelog-"))
     return _own_dir[0]
@@ -49,6 +52,7 @@ def ship_code(spark: SparkSession) -> None:
         for source in sorted(top.rglob("*.py")):
             z.write(source, str(source.relative_to(top.parent)))
     context.addPyFile(path)
+    atexit.register(Path(path).unlink, missing_ok=True)
     _shipped.add(context.applicationId)
 
 
