@@ -22,6 +22,8 @@ from .common import ship_code, table
 
 #: Bytes of text that one step holds as numbers.
 STEP_BYTES = 2_000_000
+#: Texts that one product of matrices takes; a smaller step is filled up, so that a score doesn't depend on its neighbours.
+STEP_ROWS = 256
 
 
 class Model(NamedTuple):
@@ -57,7 +59,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=x, where=norm > 0)
 
 
-def _steps(texts: list[str], rows: int = 256) -> Iterator[slice]:
+def _steps(texts: list[str], rows: int) -> Iterator[slice]:
     yield from (slice(at, at + rows) for at in range(0, len(texts), rows))
 
 
@@ -72,7 +74,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, bound: int = 4000, terms: int = 4
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for s in _steps(b.text):
+            for s in _steps(b.text, STEP_ROWS):
                 x = term_counts(b.text[s].tolist(), terms)
                 yield pd.DataFrame({"doc_id": b.doc_id[s], "label": b.label[s], "x": [r.tobytes() for r in np.log1p(x).astype(np.float16)]})
 
@@ -94,14 +96,24 @@ def fit(docs: DataFrame, labels: DataFrame, *, bound: int = 4000, terms: int = 4
     return Model(idf, axes.astype(np.float32), _unit(x @ axes).astype(np.float32), labels_, float(labels_.mean()))
 
 
+def voters(sim: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k largest of each row of sim, ties to the smaller column, columns ascending."""
+    least = -np.partition(-sim, k - 1, axis=1)[:, k - 1 : k]
+    above, tie = sim > least, sim == least
+    some = above | (tie & (np.cumsum(tie, axis=1) <= k - above.sum(1, keepdims=True)))
+    return np.nonzero(some)[1].reshape(len(sim), k)
+
+
 def score_texts(model: Model, texts: list[str], k: int, sharpness: float) -> np.ndarray:
     out = np.empty(len(texts))
-    for s in _steps(texts):
-        z = _unit(_weighted(term_counts(texts[s], len(model.idf)), model.idf) @ model.axes)
-        sim = z @ model.vectors.T
-        k_ = min(k, sim.shape[1])
-        near = np.argpartition(-sim, k_ - 1, axis=1)[:, :k_]
-        w = np.maximum(np.take_along_axis(sim, near, 1), 0).astype(np.float64) ** sharpness
+    axes, vectors, idf = model.axes.astype(np.float64), model.vectors.astype(np.float64), model.idf.astype(np.float64)
+    for s in _steps(texts, STEP_ROWS):
+        x = np.zeros((STEP_ROWS, len(idf)))
+        n = len(texts[s])
+        x[:n] = term_counts(texts[s], len(idf))
+        sim = np.round(_unit(_weighted(x, idf) @ axes) @ vectors.T, 9)[:n]
+        near = voters(sim, min(k, sim.shape[1]))
+        w = np.maximum(np.take_along_axis(sim, near, 1), 0) ** sharpness
         total = w.sum(1)
         out[s] = np.where(total > 0, (w * model.labels[near]).sum(1) / np.where(total > 0, total, 1), model.prior)
     return np.clip(out, 0, 1)
@@ -110,7 +122,7 @@ def score_texts(model: Model, texts: list[str], k: int, sharpness: float) -> np.
 def score_documents(docs: DataFrame, model: Model | None, *, k: int = 15, sharpness: float = 4.0) -> DataFrame:
     """docs with score and predicted added; text alone is read. All columns and rows are kept as they are (columns named score
     or predicted are replaced); null texts count as empty, and a text without a neighbour of positive similarity scores
-    the share of label 1 in the model. Without a model every score is 0.5."""
+    the share of label 1 in the model. Similarities are rounded to 9 digits; of equally near neighbours those of smaller doc_id vote. Without a model every score is 0.5."""
     kept = [f for f in docs.schema.fields if f.name not in ("score", "predicted")]
     names = [f.name for f in kept]
     if model is None:
