@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,28 +61,158 @@ def raw_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
-def tokens(text: Column, *, stem_words: bool = False) -> Column:
-    """Tokens without stop words, stemmed on request."""
+def tokens(text: Column, *, stem_words: bool = True) -> Column:
+    """Analysed tokens: without stop words, stemmed."""
     kept = F.filter(raw_tokens(text), lambda t: ~t.isin(*STOP_WORDS))
     return F.transform(kept, stem) if stem_words else kept
 
 
 def has_tokens(text: Column) -> Column:
-    return F.size(tokens(text)) > 0
+    return F.size(tokens(text, stem_words=False)) > 0
+
+
+# The public "Porter2" stemmer for English: suffixes with what replaces them, longest first, and exceptions.
+STEM_2 = (
+    ("ational", "ate"), ("fulness", "ful"), ("iveness", "ive"), ("ization", "ize"), ("ousness", "ous"), ("biliti", "ble"), ("lessli", "less"), ("tional", "tion"),
+    ("alism", "al"), ("aliti", "al"), ("ation", "ate"), ("entli", "ent"), ("fulli", "ful"), ("iviti", "ive"), ("ousli", "ous"), ("abli", "able"), ("alli", "al"),
+    ("anci", "ance"), ("ator", "ate"), ("enci", "ence"), ("izer", "ize"), ("bli", "ble"),
+)
+STEM_3 = (("ational", "ate"), ("tional", "tion"), ("alize", "al"), ("icate", "ic"), ("iciti", "ic"), ("ical", "ic"), ("ness", ""), ("ful", ""))
+STEM_4 = ("ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "al", "er", "ic")
+STEM_WHOLE = {
+    "skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl",
+    "sky": "sky", "news": "news", "howe": "howe", "atlas": "atlas", "cosmos": "cosmos", "bias": "bias", "andes": "andes",
+}
+STEM_KEPT = ("inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed")
+STEM_REGION = "^(?:gener|commun|arsen|.*?[aeiouy][^aeiouy])"
+STEM_SHORT = "(?:[^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$"
+STEM_DOUBLE = "(?:bb|dd|ff|gg|mm|nn|pp|rr|tt)$"
+
+
+def _once(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def stem(word: Column) -> Column:
-    """English suffixes off, as an expression: plurals, past and progressive forms, and the commonest derivations (steps 1 and 2 of
-    Porter's public algorithm; later steps are left out, so rare derivations keep more of their ending)."""
-    w = F.when(word.rlike("sses$"), F.regexp_replace(word, "sses$", "ss")).when(word.rlike("[^aeiou]ies$"), F.regexp_replace(word, "ies$", "i")).when(word.rlike("ies$"), F.regexp_replace(word, "ies$", "ie")).when(word.rlike("[^su]s$") & word.rlike("[aeiouy].+s$"), F.regexp_replace(word, "s$", "")).otherwise(word)
-    w = F.when(w.rlike("eed$"), F.regexp_replace(w, "(?<=[aeiouy][^aeiouy].{0,20})eed$", "ee")).when(
-        w.rlike("[aeiouy].*(ed|ing)$"),
-        F.regexp_replace(F.regexp_replace(F.regexp_replace(w, "(ed|ing)$", ""), "(at|bl|iz)$", "$1e"), "([^aeiouylsz])\\1$", "$1"),
-    ).otherwise(w)
-    w = F.regexp_replace(w, "(?<=.[^aeiouy])y$", "i")
-    for long, short in (("ational$", "ate"), ("ization$", "ize"), ("fulness$", "ful"), ("ousness$", "ous"), ("iveness$", "ive"), ("biliti$", "ble"), ("tional$", "tion"), ("alism$", "al"), ("aliti$", "al"), ("entli$", "ent"), ("ousli$", "ous")):
-        w = F.regexp_replace(w, "(?<=[aeiouy][^aeiouy].{0,20})" + long, short)
-    return w
+    """The stem of an English word in lower case by the Porter2 algorithm, as an expression."""
+    less = lambda w, n: w.substr(F.lit(1), F.length(w) - n)
+
+    def marked(word: Column) -> Column:
+        """y that is a consonant as Y."""
+        return F.regexp_replace(F.regexp_replace(word, "^y", "Y"), "([aeiouy])y", "$1Y")
+
+    def stems(m: Column) -> Column:
+        first = F.length(F.regexp_extract(m, STEM_REGION, 0))
+        r1 = F.when(first > 0, first).otherwise(F.length(m))
+        return _once(r1, lambda a: _once(after(m, a), lambda b: steps(m, a, b)))
+
+    def after(m: Column, a: Column) -> Column:
+        n = F.length(F.regexp_extract(m.substr(a + 1, F.length(m)), "^.*?[aeiouy][^aeiouy]", 0))
+        return F.when(n > 0, a + n).otherwise(F.length(m))
+
+    def steps(m: Column, r1: Column, r2: Column) -> Column:
+        within = lambda w, n, r: F.length(w) - n >= r
+
+        def one_a(w: Column) -> Column:
+            return F.when(w.endswith("sses"), less(w, 2)).when(w.rlike("(?:ied|ies)$"), F.when(F.length(w) > 4, less(w, 2)).otherwise(less(w, 1))).when(w.rlike("(?:us|ss)$"), w).when(w.rlike("[aeiouy].+s$"), less(w, 1)).otherwise(w)
+
+        def mended(w: Column) -> Column:
+            return F.when(w.rlike("(?:at|bl|iz)$"), F.concat(w, F.lit("e"))).when(w.rlike(STEM_DOUBLE), less(w, 1)).when((F.length(w) <= r1) & w.rlike(STEM_SHORT), F.concat(w, F.lit("e"))).otherwise(w)
+
+        def one_b(w: Column) -> Column:
+            past = F.when(w.rlike("[aeiouy].*(?:ingly|edly|ing|ed)$"), _once(F.regexp_replace(w, "(?:ingly|edly|ing|ed)$", ""), mended)).otherwise(w)
+            return F.when(w.endswith("eedly"), F.when(within(w, 5, r1), less(w, 3)).otherwise(w)).when(w.endswith("eed"), F.when(within(w, 3, r1), less(w, 1)).otherwise(w)).otherwise(past)
+
+        def one_c(w: Column) -> Column:
+            return F.when(w.rlike("^.+[^aeiouy][yY]$"), F.concat(less(w, 1), F.lit("i"))).otherwise(w)
+
+        def chain(w: Column, rules, region: Column, start: Column | None = None) -> Column:
+            out = start
+            for suffix, new in rules:
+                made = F.when(within(w, len(suffix), region), F.concat(less(w, len(suffix)), F.lit(new))).otherwise(w)
+                out = F.when(w.endswith(suffix), made) if out is None else out.when(w.endswith(suffix), made)
+            return out
+
+        def two(w: Column) -> Column:
+            return chain(w, STEM_2, r1).when(w.endswith("ogi"), F.when(within(w, 3, r1) & w.endswith("logi"), less(w, 1)).otherwise(w)).when(w.endswith("li"), F.when(within(w, 2, r1) & w.rlike("[cdeghkmnrt]li$"), less(w, 2)).otherwise(w)).otherwise(w)
+
+        def three(w: Column) -> Column:
+            return chain(w, STEM_3, r1, F.when(w.endswith("ative"), F.when(within(w, 5, r2), less(w, 5)).otherwise(w))).otherwise(w)
+
+        def four(w: Column) -> Column:
+            return chain(w, [(x, "") for x in STEM_4], r2, F.when(w.rlike("[st]ion$"), F.when(within(w, 3, r2), less(w, 3)).otherwise(w))).otherwise(w)
+
+        def five(w: Column) -> Column:
+            e = within(w, 1, r2) | (within(w, 1, r1) & ~less(w, 1).rlike(STEM_SHORT))
+            return F.when(w.endswith("e"), F.when(e, less(w, 1)).otherwise(w)).when(w.endswith("ll") & within(w, 1, r2), less(w, 1)).otherwise(w)
+
+        def rest(w: Column) -> Column:
+            out = w
+            for step in (one_b, one_c, two, three, four, five):
+                out = _once(out, step)
+            return F.when(w.isin(*STEM_KEPT), w).otherwise(out)
+
+        return F.lower(_once(one_a(m), rest))
+
+    whole = F.when(F.length(word) <= 2, word)
+    for w, out in STEM_WHOLE.items():
+        whole = whole.when(word == w, F.lit(out))
+    return whole.otherwise(_once(marked(word), stems))
+
+
+def stem_word(word: str) -> str:
+    """The same on the driver, for the words of a query."""
+    if len(word) <= 2 or word in STEM_WHOLE:
+        return STEM_WHOLE.get(word, word)
+    w = re.sub("([aeiouy])y", r"\1Y", re.sub("^y", "Y", word))
+    first = re.match(STEM_REGION, w)
+    r1 = first.end() if first else len(w)
+    second = re.match("^.*?[aeiouy][^aeiouy]", w[r1:])
+    r2 = r1 + second.end() if second else len(w)
+    if w.endswith("sses"):
+        w = w[:-2]
+    elif re.search("(?:ied|ies)$", w):
+        w = w[:-2] if len(w) > 4 else w[:-1]
+    elif not re.search("(?:us|ss)$", w) and re.search("[aeiouy].+s$", w):
+        w = w[:-1]
+    if w in STEM_KEPT:
+        return w
+    if w.endswith("eedly"):
+        w = w[:-3] if len(w) - 5 >= r1 else w
+    elif w.endswith("eed"):
+        w = w[:-1] if len(w) - 3 >= r1 else w
+    elif re.search("[aeiouy].*(?:ingly|edly|ing|ed)$", w):
+        w = re.sub("(?:ingly|edly|ing|ed)$", "", w)
+        if re.search("(?:at|bl|iz)$", w) or not re.search(STEM_DOUBLE, w) and len(w) <= r1 and re.search(STEM_SHORT, w):
+            w += "e"
+        elif re.search(STEM_DOUBLE, w):
+            w = w[:-1]
+    if re.search("^.+[^aeiouy][yY]$", w):
+        w = w[:-1] + "i"
+
+    def replaced(w: str, rules, region: int) -> str:
+        for suffix, new, ok in rules:
+            if w.endswith(suffix):
+                return w[: len(w) - len(suffix)] + new if ok(w) and len(w) - len(suffix) >= region else w
+        return w
+
+    always = lambda w: True
+    w = replaced(w, [(a, b, always) for a, b in STEM_2] + [("ogi", "og", lambda w: w.endswith("logi")), ("li", "", lambda w: bool(re.search("[cdeghkmnrt]li$", w)))], r1)
+    w = (w[:-5] if len(w) - 5 >= r2 else w) if w.endswith("ative") else replaced(w, [(a, b, always) for a, b in STEM_3], r1)
+    w = (w[:-3] if len(w) - 3 >= r2 else w) if re.search("[st]ion$", w) else replaced(w, [(a, "", always) for a in STEM_4], r2)
+    if w.endswith("e"):
+        if len(w) - 1 >= r2 or len(w) - 1 >= r1 and not re.search(STEM_SHORT, w[:-1]):
+            w = w[:-1]
+    elif w.endswith("ll") and len(w) - 1 >= r2:
+        w = w[:-1]
+    return w.lower()
+
+
+def has_stem(words: Column, wanted: str) -> Column:
+    """Whether a word of an array has that stem. Stems keep a word's beginning, so few words are stemmed."""
+    start = wanted[: max(1, len(wanted) - 2)]
+    return F.exists(words, lambda t: t.startswith(start) & ~t.isin(*STOP_WORDS) & (stem(t) == wanted))
 
 
 def intent(query: Column) -> Column:
@@ -119,11 +251,30 @@ def rule_facts(text: Column) -> Column:
     return F.concat(*map(found, RULES))
 
 
+# Words that are no subject of a query.
+SUBJECT_STOP_WORDS = (
+    "a", "an", "the", "is", "are", "was", "were", "am", "be", "been", "being",
+    "what", "who", "how", "why", "where", "when", "which", "whom", "whose",
+    "this", "that", "these", "those", "of", "for", "to", "from", "in", "on",
+    "with", "by", "at", "as", "and", "or", "but", "if", "then", "so",
+    "did", "do", "does", "doing", "done", "have", "has", "had", "having",
+    "say", "said", "says",
+    "can", "could", "may", "might", "must", "should", "would", "will", "shall",
+    "i", "you", "your", "yours", "yourself", "yourselves",
+    "we", "us", "our", "ours", "they", "them", "their", "theirs",
+    "he", "she", "him", "her", "his", "hers", "it", "its",
+    "myself", "ourselves", "themselves", "himself", "herself", "itself",
+    "user", "users", "agent", "tell", "me", "about", "show", "find", "get",
+    "want", "wants", "need", "needs", "like", "likes", "feel", "feels",
+)
+
+
 def subjects(query: Column) -> Column:
-    """Ids with a colon as they are and capitalised words that aren't stop words in lower case, sorted."""
-    parts = F.transform(F.split(query, r"\s+"), lambda w: F.regexp_replace(w, r"^[^\w]+|[^\w]+$", ""))
-    ids = F.filter(parts, lambda w: w.rlike(r"^\w[\w-]*(:[\w-]+)+$"))
-    names = F.transform(F.filter(parts, lambda w: w.rlike(r"^\p{Lu}") & ~w.contains(":") & ~F.lower(w).isin(*STOP_WORDS)), F.lower)
+    """What a query is about: tokens (of letters, digits, :, _ and -) with a colon as they are, and capitalised ones that are no stop words
+    in lower case, sorted."""
+    parts = F.filter(F.split(query, r"[^\p{L}\p{N}:_-]+"), lambda t: F.length(t) > 0)
+    ids = F.filter(parts, lambda t: t.contains(":"))
+    names = F.transform(F.filter(parts, lambda t: t.rlike(r"^\p{Lu}") & ~t.contains(":") & ~F.lower(t).isin(*SUBJECT_STOP_WORDS)), F.lower)
     return F.sort_array(F.array_distinct(F.concat(ids, names)))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geo
-from ..functions.text import STOP_WORDS, raw_tokens, tokens
+from ..functions.text import STOP_WORDS, has_stem, raw_tokens, stem_word
 from ..model import header, resolve_field
 
 TEXT_TYPES = (T.StringType, T.BinaryType)
@@ -33,7 +33,7 @@ def all_text(df: DataFrame) -> Column:
 
 
 def analysed(words: str) -> list[str]:
-    return [w for w in re.findall(r"[^\W_]+", words.lower()) if w not in STOP_WORDS]
+    return [stem_word(w) for w in re.findall(r"[^\W_]+", words.lower()) if w not in STOP_WORDS]
 
 
 def _column(df: DataFrame, name: str) -> Column:
@@ -78,9 +78,12 @@ def match(df: DataFrame, body: dict) -> Column:
     words = analysed(text)
     if not words:
         return F.lit(True)
-    have = tokens(_column(df, name))
-    wanted = F.array(*[F.lit(w) for w in dict.fromkeys(words)])
-    return F.size(F.array_except(wanted, have)) == 0 if every else F.arrays_overlap(have, wanted)
+    have = raw_tokens(_column(df, name))
+    hits = [has_stem(have, w) for w in dict.fromkeys(words)]
+    out = hits[0]
+    for h in hits[1:]:
+        out = out & h if every else out | h
+    return out
 
 
 def term(df: DataFrame, body: dict) -> Column:

@@ -40,6 +40,8 @@ def ranked(hits: DataFrame, mode: str, score: str, keys: list[str], *, ascending
     order = [F.asc("score") if ascending else F.desc("score"), *keys]
     if limit is not None and not by:
         top = top.orderBy(*order).limit(limit)  # a bounded top-k before the one ordered list
+    if limit is None and not by:
+        return _whole_ranks(top, order, ascending, base).withColumn("mode", F.lit(mode))
     w = Window.partitionBy(*(by or [F.lit(mode)])).orderBy(*order)
     top = top.withColumn("rank", F.row_number().over(w) - 1 + base)
     if limit is not None:
@@ -47,6 +49,21 @@ def ranked(hits: DataFrame, mode: str, score: str, keys: list[str], *, ascending
     return top.withColumn("mode", F.lit(mode))
 
 
+def _whole_ranks(hits: DataFrame, order: list, ascending: bool, base: int) -> DataFrame:
+    """hits with rank over all of them: ranges of the score, between approximate quantiles, are ranked each by a task, after the
+    rows of the ranges before."""
+    ranges = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted({b for b in hits.approxQuantile("score", [i / ranges for i in range(1, ranges)], 0.01) if b == b and abs(b) != math.inf})
+    up = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: F.col("score") > b)) if bounds else F.lit(0)
+    at = F.when(F.col("score").isNull(), F.lit(-1 if ascending else len(bounds) + 1)).otherwise(up if ascending else F.lit(len(bounds)) - up)
+    rows = hits.withColumn("_range", at)
+    sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1 + base
+    ranks = rows.withColumn("_place", place).join(sizes.select("_range", before.alias("_before")), "_range")
+    return ranks.withColumn("rank", (F.col("_before") + F.col("_place")).cast("int")).drop("_range", "_place", "_before")
+
+
 def merged(lists: list[DataFrame], keys: list[str]) -> DataFrame:
     """One row a candidate of ranked lists: rank and score of each mode that has it, null elsewhere, and source_count."""
     rows = lists[0]

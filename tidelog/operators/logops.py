@@ -11,10 +11,9 @@ PART = ["_topic", "_partition"]
 
 
 def compact_by_key(log: DataFrame, *, drop_tombstones: bool = False) -> DataFrame:
-    """Of each key the record with the largest offset, and all records without a key. Skewed keys are reduced before the shuffle."""
-    last = log.where("_key IS NOT NULL").groupBy(*PART, "_key").agg(F.max("_offset").alias("_last"))
-    on = [*PART, "_key"]
-    keyed = log.where("_key IS NOT NULL").join(last, on).where("_offset = _last").select(*log.columns)
+    """Of each key the record with the largest offset, and all records without a key. Keyed records are reduced before their one
+    shuffle, however skewed; the others are not shuffled."""
+    keyed = log.where("_key IS NOT NULL").groupBy(*PART, "_key").agg(F.max_by(F.struct(*log.columns), "_offset").alias("_r")).select("_r.*")
     if drop_tombstones:
         keyed = keyed.where("octet_length(_value) > 0")
     return keyed.unionByName(log.where("_key IS NULL"))
@@ -62,16 +61,25 @@ def delete_before(log: DataFrame, starts: DataFrame) -> DataFrame:
     return log.join(starts, PART, "left").where("log_start IS NULL OR _offset >= log_start").drop("log_start")
 
 
+def _numbered(log: DataFrame) -> DataFrame:
+    """log with _n: the number of a record's transaction among its producer's, null outside of transactions."""
+    w = Window.partitionBy(*PART, "producer_id").orderBy("_offset")
+    inside = F.col("producer_id").isNotNull() & F.col("transactional")
+    ended = F.when(inside & F.col("control").isNotNull(), 1).otherwise(0)
+    return log.withColumn("_n", F.when(inside, F.sum(ended).over(w) - ended))
+
+
 def transactions(log: DataFrame) -> DataFrame:
     """(producer_id, first_offset, last_offset, state) of each transaction: records of a producer up to its next control row.
 
     log: partition columns, _offset, producer_id, transactional, control (``commit``, ``abort`` or null). state is committed, aborted or open.
     """
-    w = Window.partitionBy(*PART, "producer_id").orderBy("_offset")
-    ended = F.when(F.col("control").isNotNull(), 1).otherwise(0)
-    t = log.where("producer_id IS NOT NULL AND transactional").withColumn("_n", F.sum(ended).over(w) - ended)
-    g = t.groupBy(*PART, "producer_id", "_n").agg(F.min("_offset").alias("first_offset"), F.max("_offset").alias("last_offset"), F.max("control").alias("_c"))
-    return g.withColumn("state", F.when(F.col("_c") == "commit", "committed").when(F.col("_c") == "abort", "aborted").otherwise("open")).drop("_n", "_c")
+    return _states(_numbered(log)).drop("_n")
+
+
+def _states(numbered: DataFrame) -> DataFrame:
+    g = numbered.where("_n IS NOT NULL").groupBy(*PART, "producer_id", "_n").agg(F.min("_offset").alias("first_offset"), F.max("_offset").alias("last_offset"), F.max("control").alias("_c"))
+    return g.withColumn("state", F.when(F.col("_c") == "commit", "committed").when(F.col("_c") == "abort", "aborted").otherwise("open")).drop("_c")
 
 
 def last_stable(log: DataFrame) -> DataFrame:
@@ -82,13 +90,11 @@ def last_stable(log: DataFrame) -> DataFrame:
 
 
 def read_committed(log: DataFrame) -> DataFrame:
-    """Data records below the last stable offset whose transaction was not aborted."""
-    bad = transactions(log).where("state = 'aborted'").select(*PART, "producer_id", "first_offset", "last_offset")
-    below = log.join(last_stable(log).select(*PART, "last_stable_offset"), PART).where("_offset < last_stable_offset AND control IS NULL").drop("last_stable_offset")
-    a, b = below.alias("a"), bad.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*PART, "producer_id")]
-    within = F.col("a._offset").between(F.col("b.first_offset"), F.col("b.last_offset")) & F.col("a.transactional")
-    return a.join(b, [*same, within], "left_anti")
+    """Data records below the last stable offset whose transaction was not aborted; a record finds its transaction by its number."""
+    numbered = _numbered(log)
+    bad = _states(numbered).where("state = 'aborted'").select(*PART, "producer_id", "_n")
+    below = numbered.join(last_stable(log).select(*PART, "last_stable_offset"), PART).where("_offset < last_stable_offset AND control IS NULL").drop("last_stable_offset")
+    return below.join(bad, [*PART, "producer_id", "_n"], "left_anti").select(*log.columns)
 
 
 def committed_offsets(commits: DataFrame, order: str = "_offset") -> DataFrame:

@@ -14,6 +14,10 @@ DAY = 86_400
 TYPE_WEIGHTS = {"fact": 1.0, "instruction": 1.2, "event": 0.8, "task": 1.0, "concept": 1.5}
 HALF_LIVES = {"fact": 365 * DAY, "instruction": 730 * DAY, "event": 30 * DAY, "task": 7 * DAY, "concept": 90 * DAY}
 CONFLICT_PENALTY = 0.5
+#: The polarity of a fact that contradicts another one.
+CONFLICTING = "conflicting"
+#: A JSON number.
+NUMBER = r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
 #: Version of a tombstone.
 TOMBSTONE = 2**63 - 1
 
@@ -36,7 +40,8 @@ def current(memories: DataFrame, *, score: str | None = None) -> DataFrame:
 
 def recall(memories: DataFrame, channels: DataFrame, *, now: Column, query_intent: str = "identity", namespace: str | None = None, min_confidence: float | None = None, since=None, k: int = 10) -> DataFrame:
     """The k best memories: weighted RRF over channels (channel, memory_id, rank from 0), times type weight, decay, confidence and
-    intent boost, then superseded and tombstoned ones go."""
+    intent boost, halved where a column ``polarity`` says ``conflicting``; then superseded and tombstoned ones go. Boosts read the columns
+    ``object`` (a number?) and ``due_at``, where memories have them."""
     weight = _by_kind(CHANNEL_WEIGHTS, F.col("channel"))
     fused = channels.groupBy("memory_id").agg(F.sum(weight / (K + F.col("rank"))).alias("rrf"))
     m = memories
@@ -47,7 +52,10 @@ def recall(memories: DataFrame, channels: DataFrame, *, now: Column, query_inten
     if since is not None:
         m = m.where(F.col("created_at") >= F.lit(since).cast("timestamp"))
     kind = F.col("type")
-    boost = intent_boost(F.lit(query_intent), kind, F.col("text"))
+    number = F.coalesce(F.col("object").cast("string").rlike(NUMBER), F.lit(False)) if "object" in m.columns else None
+    boost = intent_boost(F.lit(query_intent), kind, F.col("text"), object_is_number=number, due_at=F.col("due_at") if "due_at" in m.columns else None)
+    if "polarity" in m.columns:
+        boost = boost * F.when(F.col("polarity") == CONFLICTING, F.lit(CONFLICT_PENALTY)).otherwise(F.lit(1.0))
     score = F.col("rrf") * _by_kind(TYPE_WEIGHTS, kind) * time_decay(F.col("valid_from"), now, _by_kind(HALF_LIVES, kind)) * F.col("confidence") * boost
     scored = m.join(fused, "memory_id").withColumn("score", score)
     return current(scored, score="score").orderBy(F.desc("score"), "memory_id").limit(k)
@@ -67,6 +75,13 @@ def conflicts(facts: DataFrame) -> DataFrame:
     return filled.groupBy("namespace", "subject", "predicate").agg(F.countDistinct("object").alias("n_objects"), F.count(F.lit(1)).alias("n_facts")).where("n_objects > 1")
 
 
+def mark_conflicts(facts: DataFrame) -> DataFrame:
+    """facts with polarity ``conflicting`` where conflicts() finds several objects, null elsewhere."""
+    keys = ["namespace", "subject", "predicate"]
+    both = facts.join(conflicts(facts).select(*keys, F.lit(CONFLICTING).alias("polarity")), keys, "left")
+    return both.select(*facts.columns, "polarity")
+
+
 def resolve_conflicts(facts: DataFrame, strategy: str) -> DataFrame:
     """surface_both (all), latest_wins (version, then confidence) or highest_confidence_wins (the other way round)."""
     order = {"latest_wins": ["version", "confidence"], "highest_confidence_wins": ["confidence", "version"]}

@@ -66,7 +66,7 @@ def q_unified_view(spark, d):
 
 def q_hot_scan(spark, d):
     t = events_topic(spark, d)
-    return rows(C.hot_scan(t, _flushed(t), cap=50))
+    return rows(C.hot_scan(t, _flushed(t)))
 
 
 def q_list_offsets(spark, d):
@@ -74,7 +74,9 @@ def q_list_offsets(spark, d):
 
 
 def q_fetch_max_bytes(spark, d):
-    return rows(C.fetch(events_topic(spark, d), "events", 1, 100, max_bytes=4000)).withColumn("one", F.lit(1)).select("_partition", "_offset").agg(F.min("_offset").alias("first"), (F.count(F.lit(1)) > 1).alias("some"), F.max("_partition").alias("p"))
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    t = as_topic(docs, "documents", partition=F.pmod("doc_id", F.lit(4)), offset=F.col("doc_id"), timestamp=F.timestamp_seconds("doc_id"), key=F.col("source"), value=F.col("text"))
+    return rows(C.fetch(t, "documents", 1, 100, max_bytes=20_000))
 
 
 def q_fetch_max_records(spark, d):
@@ -94,7 +96,7 @@ def q_json_columns(spark, d):
 def q_assign_offsets(spark, d):
     t = events_topic(spark, d).drop("_offset")
     base = spark.createDataFrame([("events", 0, 1000), ("events", 1, 5)], "_topic string, _partition int, next_offset long")
-    return K.assign_offsets(t, base, ["_timestamp", "_value"]).groupBy("_partition").agg(F.min("_offset").alias("lo"), F.max("_offset").alias("hi"), F.countDistinct("_offset").alias("n"))
+    return K.assign_offsets(t, base, ["_timestamp", "_value"]).select("_partition", "_offset", F.unix_micros("_timestamp").alias("at"))
 
 
 def q_filter_kafka(spark, d):
@@ -160,7 +162,7 @@ def q_delete_records(spark, d):
 
 
 def _transactional(spark, d):
-    t = events_topic(spark, d).where("_offset < 2000")
+    t = events_topic(spark, d)
     control = F.when(F.pmod("_offset", F.lit(37)) == 0, F.when(F.pmod("_offset", F.lit(2)) == 0, "commit").otherwise("abort"))
     return t.withColumn("producer_id", F.pmod("_offset", F.lit(3))).withColumn("transactional", F.lit(True)).withColumn("control", control)
 
@@ -173,7 +175,7 @@ def q_txn_committed(spark, d):
     return logops.read_committed(_transactional(spark, d)).select("_partition", "_offset")
 
 
-TXN = f"(SELECT p, o, o % 3 AS pid, CASE WHEN o % 37 = 0 THEN CASE WHEN o % 2 = 0 THEN 'commit' ELSE 'abort' END END AS c FROM {LOG} WHERE o < 2000)"
+TXN = f"(SELECT p, o, o % 3 AS pid, CASE WHEN o % 37 = 0 THEN CASE WHEN o % 2 = 0 THEN 'commit' ELSE 'abort' END END AS c FROM {LOG})"
 TXNS = f"(SELECT p, pid, n, min(o) AS lo, max(o) AS hi, max(c) AS c FROM (SELECT *, sum(CASE WHEN c IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY p, pid ORDER BY o) - CASE WHEN c IS NOT NULL THEN 1 ELSE 0 END AS n FROM {TXN}) GROUP BY p, pid, n)"
 LSO = f"(SELECT h.p, h.hw, coalesce(q.f, h.hw) AS lso FROM (SELECT p, max(o) + 1 AS hw FROM {TXN} GROUP BY p) h LEFT JOIN (SELECT p, min(lo) AS f FROM {TXNS} WHERE c IS NULL GROUP BY p) q USING (p))"
 
@@ -254,13 +256,13 @@ ORACLE_SQL = {
     "scan_time_range": f"{_ROWS} {LOG} WHERE ts >= TIMESTAMP '2024-01-01 02:00:00' AND ts < TIMESTAMP '2024-01-01 09:30:00'",
     "scan_time_partition": f"{_ROWS} {LOG} WHERE epoch_us(ts) // 3600000000 IN ({_HOURS})",
     "unified_view": f"SELECT p AS _partition, count(*) AS n, count(DISTINCT o) AS d, max(o) AS m FROM {LOG} GROUP BY p",
-    "hot_scan": f"{_ROWS} (SELECT *, row_number() OVER (PARTITION BY p ORDER BY o) AS rn FROM (SELECT *, max(o) OVER (PARTITION BY p) // 2 AS f FROM {LOG}) WHERE o > f) WHERE rn <= 50",
+    "hot_scan": f"{_ROWS} (SELECT *, row_number() OVER (PARTITION BY p ORDER BY o) AS rn FROM (SELECT *, max(o) OVER (PARTITION BY p) // 2 AS f FROM {LOG}) WHERE o > f) WHERE rn <= {C.HOT_ROWS}",
     "list_offsets": f"SELECT p AS _partition, min(o) AS log_start, max(o) + 1 AS high_watermark, min(o) FILTER (WHERE ts >= TIMESTAMP '2024-01-01 03:00:00') AS at_offset FROM {LOG} GROUP BY p",
-    "fetch_max_bytes": f"SELECT min(o) AS first, true AS some, 1 AS p FROM {LOG} WHERE p = 1 AND o >= 100",
+    "fetch_max_bytes": "SELECT CAST(1 AS INT) AS _partition, doc_id AS _offset, source AS k FROM (SELECT doc_id, source, sum(greatest(1, coalesce(strlen(source), 0) + coalesce(strlen(text), 0))) OVER (ORDER BY doc_id) AS b, row_number() OVER (ORDER BY doc_id) AS n FROM documents WHERE doc_id % 4 = 1 AND doc_id >= 100) WHERE b <= 20000 OR n = 1",
     "fetch_max_records": f"{_ROWS} {LOG} WHERE p = 2 AND o >= 300 ORDER BY o LIMIT 20",
     "json_infer": "SELECT unnest(['event_type', 'props', 'user_id', 'value']) AS name, unnest(['string', 'string', 'int64', 'float64']) AS type, false AS nullable, (SELECT count(*) FROM events) AS n",
     "json_columns": "SELECT event_id AS _offset, event_type, round(value, 6) AS value, user_id, CAST(NULL AS VARCHAR) AS nothing FROM events",
-    "assign_offsets": f"SELECT p AS _partition, b AS lo, b + count(*) - 1 AS hi, count(*) AS n FROM (SELECT p, CASE p WHEN 0 THEN 1000 WHEN 1 THEN 5 ELSE 0 END AS b FROM {LOG}) GROUP BY p, b",
+    "assign_offsets": f"SELECT p AS _partition, CASE p WHEN 0 THEN 1000 WHEN 1 THEN 5 ELSE 0 END + row_number() OVER (PARTITION BY p ORDER BY ts) - 1 AS _offset, epoch_us(ts) AS at FROM {LOG}",
     "filter_kafka": f"{_ROWS} {LOG} WHERE p = 1 AND o BETWEEN 50 AND 900 AND regexp_full_match(k, '1.+') AND event_type = 'click'",
     "filter_value_regex": f"{_ROWS} {LOG} WHERE event_type IN ('click', 'view') AND ts <= TIMESTAMP '2024-01-01 12:00:00'",
     "headers_last": "SELECT event_id AS _offset, event_type AS h, event_type AS m, CAST(NULL AS VARCHAR) AS x FROM events",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +53,35 @@ def _edges() -> str:
 HAVERSINE = "2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians(40.0 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(40.0)) * pow(sin(radians(10.0 - lon) / 2), 2))))"
 TOK = "list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda t: NOT list_contains([" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "], t))"
 RAW = "regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+')"
+
+
+def _stem_sql() -> str:
+    """CTEs that stem the documents' words: voc (t, st), and tok (doc_id, s), each document's terms in order."""
+    cut = lambda n: f"left(w, length(w) - {n})"
+    chain = lambda rules, r: " ".join(f"WHEN ends_with(w, '{a}') THEN CASE WHEN length(w) - {len(a)} >= {r} THEN {cut(len(a))} || '{b}' ELSE w END" for a, b in rules)
+    short, double = text.STEM_SHORT, text.STEM_DOUBLE
+    re_ = lambda x, p: f"regexp_matches({x}, '{p}')"
+    steps = [
+        f"CASE WHEN ends_with(w, 'sses') THEN {cut(2)} WHEN {re_('w', '(?:ied|ies)$')} THEN CASE WHEN length(w) > 4 THEN {cut(2)} ELSE {cut(1)} END WHEN {re_('w', '(?:us|ss)$')} THEN w WHEN {re_('w', '[aeiouy].+s$')} THEN {cut(1)} ELSE w END",
+        f"CASE WHEN kept THEN w WHEN ends_with(w, 'eedly') THEN CASE WHEN length(w) - 5 >= r1 THEN {cut(3)} ELSE w END WHEN ends_with(w, 'eed') THEN CASE WHEN length(w) - 3 >= r1 THEN {cut(1)} ELSE w END WHEN {re_('w', '[aeiouy].*(?:ingly|edly|ing|ed)$')} THEN regexp_replace(w, '(?:ingly|edly|ing|ed)$', '') || '#' ELSE w END",
+        f"CASE WHEN NOT ends_with(w, '#') THEN w WHEN {re_('w', '(?:at|bl|iz)#$')} THEN {cut(1)} || 'e' WHEN {re_(cut(1), double)} THEN {cut(2)} WHEN length(w) - 1 <= r1 AND {re_(cut(1), short)} THEN {cut(1)} || 'e' ELSE {cut(1)} END",
+        f"CASE WHEN NOT kept AND {re_('w', '^.+[^aeiouy][yY]$')} THEN {cut(1)} || 'i' ELSE w END",
+        f"CASE WHEN kept THEN w {chain(text.STEM_2, 'r1')} WHEN ends_with(w, 'ogi') THEN CASE WHEN length(w) - 3 >= r1 AND ends_with(w, 'logi') THEN {cut(1)} ELSE w END WHEN ends_with(w, 'li') THEN CASE WHEN length(w) - 2 >= r1 AND {re_('w', '[cdeghkmnrt]li$')} THEN {cut(2)} ELSE w END ELSE w END",
+        f"CASE WHEN kept THEN w WHEN ends_with(w, 'ative') THEN CASE WHEN length(w) - 5 >= r2 THEN {cut(5)} ELSE w END {chain(text.STEM_3, 'r1')} ELSE w END",
+        f"CASE WHEN kept THEN w WHEN {re_('w', '[st]ion$')} THEN CASE WHEN length(w) - 3 >= r2 THEN {cut(3)} ELSE w END {chain([(x, '') for x in text.STEM_4], 'r2')} ELSE w END",
+        f"CASE WHEN kept THEN w WHEN ends_with(w, 'e') THEN CASE WHEN length(w) - 1 >= r2 OR length(w) - 1 >= r1 AND NOT {re_(cut(1), short)} THEN {cut(1)} ELSE w END WHEN ends_with(w, 'll') AND length(w) - 1 >= r2 THEN {cut(1)} ELSE w END",
+    ]
+    whole = " ".join(f"WHEN t = '{a}' THEN '{b}'" for a, b in text.STEM_WHOLE.items())
+    kept = ", ".join(f"'{w}'" for w in text.STEM_KEPT)
+    out = f"raw AS (SELECT doc_id, unnest({RAW.format(c='text')}) AS t, generate_subscripts({RAW.format(c='text')}, 1) AS i FROM documents), v0 AS (SELECT t, regexp_replace(regexp_replace(t, '^y', 'Y'), '([aeiouy])y', '\\1Y', 'g') AS w FROM (SELECT DISTINCT t FROM raw)), v1 AS (SELECT *, length(regexp_extract(w, '{text.STEM_REGION}')) AS f FROM v0), v2 AS (SELECT t, w, CASE WHEN f > 0 THEN f ELSE length(w) END AS r1 FROM v1), v3 AS (SELECT *, length(regexp_extract(w[r1 + 1:], '^.*?[aeiouy][^aeiouy]')) AS f FROM v2), v4 AS (SELECT t, w, r1, CASE WHEN f > 0 THEN r1 + f ELSE length(w) END AS r2 FROM v3), a0 AS (SELECT t, {steps[0]} AS w, r1, r2 FROM v4), s0 AS (SELECT *, w IN ({kept}) AS kept FROM a0)"
+    for i, step in enumerate(steps[1:], 1):
+        out += f", s{i} AS (SELECT t, {step} AS w, r1, r2, kept FROM s{i - 1})"
+    out += f", voc AS (SELECT t, CASE WHEN length(t) <= 2 THEN t {whole} ELSE lower(w) END AS st FROM s{len(steps) - 1})"
+    stop = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+    return out + f", tok AS (SELECT doc_id, list(st ORDER BY i) AS s FROM raw JOIN voc USING (t) WHERE t NOT IN ({stop}) GROUP BY doc_id)"
+
+
+STEMMED = _stem_sql()
 WORDS = ["retion", "hain", "therre", "reble", "ouing"]
 
 
@@ -148,10 +179,31 @@ def q_fn_decay(spark, d):
 
 def q_text_tokens(spark, d):
     t = _t(spark, d, "documents")
-    ts = text.tokens(F.col("text"))
+    ts = text.tokens(F.col("text"), stem_words=False)
     return t.select("doc_id", F.size(ts).alias("n"), text.has_tokens(F.col("text")).alias("some"), F.coalesce(F.get(ts, F.lit(0)), F.lit("")).alias("first"))
 
 
+def q_text_stems(spark, d):
+    """Every word of the documents with its stem."""
+    words = _t(spark, d, "documents").select(F.explode(text.raw_tokens(F.col("text"))).alias("word")).distinct()
+    return words.select("word", text.stem(F.col("word")).alias("stem"))
+
+
+def q_text_stemmed(spark, d):
+    return spark.createDataFrame([(w,) for w, _ in STEMS], "word string").select("word", text.stem(F.col("word")).alias("stem"))
+
+
+#: Words with their stems from the stemmer's public description and vocabulary.
+STEMS = [
+    ("consign", "consign"), ("consigned", "consign"), ("consigning", "consign"), ("consignment", "consign"), ("consist", "consist"), ("consistency", "consist"), ("consistently", "consist"),
+    ("consolation", "consol"), ("consolatory", "consolatori"), ("console", "consol"), ("consolidate", "consolid"), ("consolidating", "consolid"), ("conspicuous", "conspicu"), ("conspicuously", "conspicu"),
+    ("constancy", "constanc"), ("knackeries", "knackeri"), ("knave", "knave"), ("knavery", "knaveri"), ("kneeling", "kneel"), ("knightly", "knight"), ("knots", "knot"), ("running", "run"),
+    ("shoes", "shoe"), ("batteries", "batteri"), ("ties", "tie"), ("cries", "cri"), ("gas", "gas"), ("this", "this"), ("gaps", "gap"), ("kiwis", "kiwi"), ("luxuriating", "luxuri"), ("hopping", "hop"),
+    ("hoping", "hope"), ("by", "by"), ("say", "say"), ("cry", "cri"), ("generate", "generat"), ("generously", "generous"), ("skies", "sky"), ("dying", "die"), ("news", "news"), ("proceed", "proceed"),
+    ("relational", "relat"), ("agreed", "agre"), ("happily", "happili"), ("caresses", "caress"), ("ponies", "poni"), ("controlling", "control"), ("rolling", "roll"), ("falling", "fall"), ("youth", "youth"),
+]
+
+
 def q_text_intent(spark, d):
     qs = ["How many users?", "when did it start", "for how many days", "who is Anna", "last time we met", "cost of 3 days"]
     return spark.createDataFrame([(q,) for q in qs], "q string").select("q", text.intent(F.col("q")).alias("intent"))
@@ -168,14 +220,40 @@ def q_rule_extract(spark, d):
     return docs.where("f.kind IN ('email', 'url', 'date')").groupBy("doc_id", F.col("f.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.min("f.value").alias("first"))
 
 
-def q_bm25(spark, d):
+def q_bm25_scan(spark, d):
     out = text_index.bm25(_t(spark, d, "documents"), "doc_id", "text", WORDS)
     return out.select("doc_id", F.round("score", 5).alias("score"))
 
 
+_indexes: dict[tuple, str] = {}
+
+
+def _index(spark, d) -> text_index.TextIndex:
+    """The documents' text index, built when a session first asks for these files."""
+    docs = _t(spark, d, "documents")
+    key = (spark.sparkContext.applicationId, d, tuple(sorted(docs.inputFiles())))
+    if key not in _indexes:
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        path = f"{base.rstrip('/')}/tidelog-text-{uuid.uuid4().hex}"
+        text_index.TextIndex(spark, path, "doc_id").add(docs.select("doc_id", "text"), "text")
+        _indexes[key] = path
+    return text_index.TextIndex(spark, _indexes[key], "doc_id")
+
+
+def q_bm25(spark, d):
+    return _index(spark, d).bm25(WORDS).select("doc_id", F.round("score", 5).alias("score"))
+
+
+def q_index_match_all(spark, d):
+    return _index(spark, d).match(["hain", "nd"], every=True)
+
+
+def q_index_statistics(spark, d):
+    return _index(spark, d).statistics()
+
+
 def q_text_phrase(spark, d):
-    p = text_index.postings(_t(spark, d, "documents"), "doc_id", "text")
-    return text_index.phrase(p, "doc_id", ["nd", "nd"])
+    return _index(spark, d).phrase(["nd", "nd"])
 
 
 def _knn(metric):
@@ -214,13 +292,14 @@ def q_quantize_uint8(spark, d):
 
 
 def _lists(spark, d):
-    e = _t(spark, d, "events").where("event_id < 400")
-    a = e.select(F.col("event_id").alias("id"), (F.col("value") * 7 % 13).alias("s")).where("id % 2 = 0")
-    b = e.select(F.col("event_id").alias("id"), (F.col("value") * 3 % 17).alias("s")).where("id % 3 = 0")
+    """Two ranked lists: clicks and views, and events of a large value."""
+    e = _t(spark, d, "events")
+    a = e.where(F.col("event_type").isin("click", "view")).select(F.col("event_id").alias("id"), (F.col("value") * 7 % 13).alias("s"))
+    b = e.where("value >= 30").select(F.col("event_id").alias("id"), (F.col("value") * 3 % 17).alias("s"))
     return a, b
 
 
-LISTS = "a AS (SELECT event_id AS id, value * 7 % 13 AS s FROM events WHERE event_id < 400 AND event_id % 2 = 0), b AS (SELECT event_id AS id, value * 3 % 17 AS s FROM events WHERE event_id < 400 AND event_id % 3 = 0), ra AS (SELECT id, s, row_number() OVER (ORDER BY s DESC, id) - 1 AS r FROM a), rb AS (SELECT id, s, row_number() OVER (ORDER BY s DESC, id) - 1 AS r FROM b)"
+LISTS = "a AS (SELECT event_id AS id, value * 7 % 13 AS s FROM events WHERE event_type IN ('click', 'view')), b AS (SELECT event_id AS id, value * 3 % 17 AS s FROM events WHERE value >= 30), ra AS (SELECT id, s, row_number() OVER (ORDER BY s DESC, id) - 1 AS r FROM a), rb AS (SELECT id, s, row_number() OVER (ORDER BY s DESC, id) - 1 AS r FROM b)"
 
 
 def q_rrf_merge(spark, d):
@@ -322,14 +401,21 @@ ORACLE_SQL = {
     "fn_decode": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type END AS u, CASE WHEN event_id % 3 <> 0 THEN event_type END AS b FROM events",
     "fn_vector_distance": f"SELECT vec_id, round(1 - list_cosine_similarity({_E}, list_reverse({_E})), 5) AS cosine, round(list_distance({_E}, list_reverse({_E})), 5) AS euclidean, round(list_inner_product({_E}, list_reverse({_E})), 5) AS dot, CAST(NULL AS VARCHAR) AS none, true AS nan FROM embeddings",
     "fn_decay": "SELECT event_id, round(CASE WHEN epoch_us(TIMESTAMP '2024-01-01 06:00:00') <= epoch_us(ts) THEN 1.0 ELSE exp(-0.6931471805599453 * floor((epoch_us(TIMESTAMP '2024-01-01 06:00:00') - epoch_us(ts)) / 1e6) / 3600) END, 6) AS w FROM events",
+    "text_stems": f"WITH {STEMMED} SELECT t AS word, st AS stem FROM voc",
+    "text_stemmed": "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in STEMS) + ") v(word, stem)",
+    "index_match_all": f"WITH {STEMMED} SELECT doc_id FROM tok WHERE list_has_all(s, {text_index.analysed_terms(['hain', 'nd'])!r})",
+    "index_statistics": f"WITH {STEMMED} SELECT (SELECT count(*) FROM documents) AS docs, CAST(sum(len(s)) AS BIGINT) AS tokens, (SELECT count(DISTINCT x) FROM (SELECT unnest(s) AS x FROM tok)) AS terms FROM tok",
     "text_tokens": f"SELECT doc_id, CAST(len(t) AS INT) AS n, len(t) > 0 AS some, coalesce(t[1], '') AS first FROM (SELECT doc_id, {TOK} AS t FROM documents)",
     "text_intent": "SELECT * FROM (VALUES ('How many users?', 'numeric'), ('when did it start', 'temporal'), ('for how many days', 'temporal'), ('who is Anna', 'identity'), ('last time we met', 'temporal'), ('cost of 3 days', 'numeric')) v(q, intent)",
     "wikilinks": "SELECT * FROM (VALUES (0, 'user:luis,a'), (1, 'yes-1'), (2, 'y_z'), (3, 'closed'), (4, '')) v(id, links)",
     "rule_extract": "SELECT doc_id, kind, count(*) AS n, min(trim(v, chr(32) || '(' || chr(10) || chr(9))) AS first FROM ("
     + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{text.RULES[k].replace(chr(39), chr(39) * 2)}')) AS v FROM documents" for k in ("email", "url", "date"))
     + ") GROUP BY doc_id, kind",
-    "bm25": f"WITH t AS (SELECT doc_id, {TOK} AS t FROM documents), c AS (SELECT count(*) AS n, avg(len(t)) AS a FROM t), q AS (SELECT unnest([{', '.join(repr(w) for w in WORDS)}]) AS w), f AS (SELECT doc_id, w, len(list_filter(t, lambda x: x = w)) AS tf, len(t) AS dl FROM t, q), df AS (SELECT w, count(*) FILTER (WHERE tf > 0) AS d FROM f GROUP BY w) SELECT doc_id, round(sum(ln(1 + (n - d + 0.5) / (d + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 5) AS score FROM f JOIN df USING (w), c GROUP BY doc_id HAVING sum(tf) > 0",
-    "text_phrase": f"SELECT doc_id FROM (SELECT doc_id, ' ' || array_to_string({TOK}, ' ') || ' ' AS t FROM documents) WHERE contains(t, ' nd nd ')",
+    **{
+        name: f"WITH {STEMMED}, t AS (SELECT doc_id, coalesce(s, []) AS t FROM documents LEFT JOIN tok USING (doc_id)), c AS (SELECT count(*) AS n, avg(len(t)) AS a FROM t), q AS (SELECT unnest({text_index.analysed_terms(WORDS)!r}) AS w), f AS (SELECT doc_id, w, len(list_filter(t, lambda x: x = w)) AS tf, len(t) AS dl FROM t, q), df AS (SELECT w, count(*) FILTER (WHERE tf > 0) AS d FROM f GROUP BY w) SELECT doc_id, round(sum(ln(1 + (n - d + 0.5) / (d + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 5) AS score FROM f JOIN df USING (w), c GROUP BY doc_id HAVING sum(tf) > 0"
+        for name in ("bm25", "bm25_scan")
+    },
+    "text_phrase": f"WITH {STEMMED} SELECT doc_id FROM tok WHERE contains(' ' || array_to_string(s, ' ') || ' ', ' nd nd ')",
     "knn_filtered": f"SELECT vec_id, round(1 - list_cosine_similarity({_E}, {_Q64}), 5) AS distance FROM embeddings WHERE label = 1 ORDER BY 1 - list_cosine_similarity({_E}, {_Q64}), vec_id LIMIT 10",
     "knn_two_phase": f"SELECT vec_id, round(list_distance({_E}, {_Q64}), 5) AS distance FROM (SELECT * FROM embeddings ORDER BY list_distance(list_slice({_E}, 1, 32), list_slice({_Q64}, 1, 32)), vec_id LIMIT 50) ORDER BY list_distance({_E}, {_Q64}), vec_id LIMIT 5",
     "quantize_uint8": "WITH x AS (SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 65) t(i)), s AS (SELECT i, min(v) AS lo, CASE WHEN max(v) = min(v) THEN 1.0 ELSE max(v) - min(v) END / 255 AS st FROM x GROUP BY i), c AS (SELECT vec_id, i, CAST(greatest(0, least(255, floor((v - lo) / st))) AS INT) AS q FROM x JOIN s USING (i)) SELECT vec_id, max(q) FILTER (WHERE i = 1) AS c0, max(q) AS hi, min(q) AS lo FROM c GROUP BY vec_id",
@@ -338,9 +424,9 @@ ORACLE_SQL = {
     "score_fusion": f"WITH {LISTS}, m AS (SELECT coalesce(a.id, b.id) AS id, a.s AS t, b.s AS v FROM a FULL JOIN b ON a.id = b.id) SELECT id, 'rank_fusion' AS method, round(coalesce(v, 0) * 0.5 + coalesce(t, 0) * 0.5, 6) AS score FROM m UNION ALL SELECT id, 'vector_rerank', round(coalesce(v, t), 6) FROM m UNION ALL SELECT id, 'vector_boost', round(CASE WHEN t IS NOT NULL AND v IS NOT NULL THEN t * 1.5 ELSE coalesce(t, v) END, 6) FROM m",
     "hot_cold_merge": f"WITH {LISTS} SELECT id, round(s, 6) AS s FROM a UNION ALL SELECT id, round(s, 6) FROM b WHERE id NOT IN (SELECT id FROM a)",
     "best_of": f"WITH {LISTS} SELECT id, round(max(s), 6) AS s FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id ORDER BY max(s) DESC, id LIMIT 40",
-    "filter_bool": f"SELECT doc_id FROM documents WHERE lang = 'en' AND n_chars <= 3000 AND (list_has_any({TOK}, ['retion', 'hain']) OR source = 'src3')",
-    "filter_match": f"SELECT doc_id FROM documents WHERE list_has_any({TOK}, ['retion', 'reble'])",
-    "filter_match_and": f"SELECT doc_id FROM documents WHERE list_has_all({TOK}, ['hain', 'nd'])",
+    "filter_bool": f"WITH {STEMMED} SELECT doc_id FROM documents LEFT JOIN tok USING (doc_id) WHERE lang = 'en' AND n_chars <= 3000 AND (list_has_any(coalesce(s, []), {text_index.analysed_terms(['retion', 'hain'])!r}) OR source = 'src3')",
+    "filter_match": f"WITH {STEMMED} SELECT doc_id FROM tok WHERE list_has_any(s, {text_index.analysed_terms(['retion', 'reble'])!r})",
+    "filter_match_and": f"WITH {STEMMED} SELECT doc_id FROM tok WHERE list_has_all(s, {text_index.analysed_terms(['hain', 'nd'])!r})",
     "filter_match_all": "SELECT doc_id FROM documents",
     "filter_match_stop_words": "SELECT doc_id FROM documents",
     "filter_terms": "SELECT doc_id FROM documents WHERE source IN ('src1', 'src5')",

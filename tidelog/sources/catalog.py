@@ -182,14 +182,18 @@ def unified(hot: DataFrame, cold: DataFrame, flushed: DataFrame | None = None) -
 
 
 def fetch(log: DataFrame, topic: str, partition: int, offset: int, *, max_records: int | None = None, max_bytes: int | None = None, below: int | None = None) -> DataFrame:
-    """Records from an offset on, in order, as many as fit max_bytes (the first one always) and max_records."""
+    """Records from an offset on, in order, as many as fit max_bytes (the first one always) and max_records.
+
+    A record counts as one byte at least, so the first max_bytes records are all that sizes are summed of.
+    """
     from pyspark.sql import Window
 
     df = log.where((F.col("_topic") == topic) & (F.col("_partition") == partition) & (F.col("_offset") >= offset))
     if below is not None:
         df = df.where(F.col("_offset") < below)
     if max_bytes is not None:
-        size = F.coalesce(F.octet_length("_key"), F.lit(0)) + F.octet_length("_value")
+        df = df.orderBy("_offset").limit(max(1, min(max_bytes, 2**31 - 1)))
+        size = F.greatest(F.lit(1), F.coalesce(F.octet_length("_key"), F.lit(0)) + F.coalesce(F.octet_length("_value"), F.lit(0)))
         w = Window.partitionBy("_topic", "_partition").orderBy("_offset")
         df = df.withColumn("_sum", F.sum(size).over(w)).withColumn("_rn", F.row_number().over(w)).where((F.col("_sum") <= max_bytes) | (F.col("_rn") == 1)).drop("_sum", "_rn")
     df = df.orderBy("_offset")
