@@ -24,17 +24,22 @@ ROUNDS = 12
 #: Documents of one source that are put in order by one task, about.
 BUCKET_DOCS = 512
 #: Slots that one task draws, about.
-TASK_SLOTS = 500_000
+TASK_SLOTS = 100_000
+#: Rows that one task may put in order.
+TASK_ROWS = 10_000
 
 
 def running(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
     """df with, for each column c of sums, the sum of c over the rows before in order, named sums[c]; order tells all rows apart.
 
-    Ranges of the order are summed first, so no task holds all rows. Sums are exact if the columns are.
+    More than TASK_ROWS rows are dealt to ranges of the order, which are summed first, so no task holds all rows. Sums are exact
+    if the columns are.
     """
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if df.limit(TASK_ROWS + 1).count() <= TASK_ROWS:
+        return df.withColumns({name: before(c, Window.orderBy(*order)) for c, name in sums.items()})
     ranges = partitions(df.sparkSession)
     d = cut(df.repartitionByRange(ranges, *order).withColumn("_p", F.spark_partition_id()), "mix-ranges")
-    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     per = d.groupBy("_p").agg(*[F.sum(c).alias(c) for c in sums])
     per = per.select("_p", *[before(c, Window.orderBy("_p")).alias(f"_all_{c}") for c in sums])  # as many rows as ranges
     inside = Window.partitionBy("_p").orderBy(*order)
@@ -74,7 +79,7 @@ def permuted(x: Column, n: Column, *key: Column) -> Column:
     return F.aggregate(F.array(*[F.lit(r) for r in range(ROUNDS)]), x.cast("long"), round_)
 
 
-def place(docs: DataFrame, sources: DataFrame) -> DataFrame:
+def place(docs: DataFrame) -> DataFrame:
     """(_id, sid, doc_id, size, start): where a document's words lie in its source's stream; documents without words left out.
 
     docs: _id, sid, doc_id, size. Prefix sums in two levels, so that a source with a third of all rows is still many tasks'
@@ -84,8 +89,9 @@ def place(docs: DataFrame, sources: DataFrame) -> DataFrame:
     buckets = max(1, n // BUCKET_DOCS)
     h = F.xxhash64(F.lit(SEED), "doc_id", "size")
     d = docs.where("size > 0").withColumn("_h", h).withColumn("_b", F.pmod("_h", F.lit(buckets)))
-    first = running(d.groupBy("sid", "_b").agg(F.sum("size").alias("_s")), [F.col("sid"), F.col("_b")], {"_s": "_first"})
-    base = running(sources.select("sid", "source_size"), [F.col("sid")], {"source_size": "_base"}).select("sid", "_base")
+    sums = cut(d.groupBy("sid", "_b").agg(F.sum("size").alias("_s")), "mix-sums")
+    first = running(sums, [F.col("sid"), F.col("_b")], {"_s": "_first"})
+    base = first.groupBy("sid").agg(F.min("_first").alias("_base"))
     inside = Window.partitionBy("sid", "_b").orderBy("_h", "_id").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_at", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     d = d.join(first.join(base, "sid").select("sid", "_b", (F.col("_first") - F.col("_base")).alias("_first")), ["sid", "_b"])
@@ -108,14 +114,15 @@ def shard_counts(quotas: DataFrame, shard_slots: int, seed: int = SEED) -> DataF
     drawn = slots.select(F.floor(F.col("id") / shard_slots).alias("shard"), F.pmod(F.xxhash64(F.lit(seed), F.lit("draw"), "id"), F.lit(max(total, 1))).alias("_x"))
     drawn = drawn.withColumn("_cell", F.floor(F.col("_x") / width)).join(lists, "_cell").where("_x >= _lo AND _x < _lo + quota")
     counts = cut(drawn.groupBy("shard", "sid").agg(F.count(F.lit(1)).alias("n")), "mix-draws")
-    got = counts.groupBy("sid").agg(F.sum("n").alias("drawn"))
-    base = running(got, [F.col("sid")], {"drawn": "_base"})
-    c = running(counts, [F.col("sid"), F.col("shard")], {"n": "_before"}).join(base.join(quotas.select("sid", "quota"), "sid"), "sid")
+    c = running(counts, [F.col("sid"), F.col("shard")], {"n": "_before"})
+    got = c.groupBy("sid").agg(F.sum("n").alias("drawn"), F.min("_before").alias("_base"))
+    c = c.join(got.join(quotas.select("sid", "quota"), "sid"), "sid")
     c = c.withColumn("first", F.col("_before") - F.col("_base")).withColumn("keep", F.greatest(F.lit(0), F.least(F.col("n"), F.col("quota") - F.col("first"))))
     c = cut(c.select("shard", "sid", "first", "n", "keep"), "mix-counts")
     # the draws that are too many, one by one, and what others lack, one by one: both about the root of all slots
     over = running(c.where("keep < n").select("shard", "sid", (F.col("n") - F.col("keep")).alias("m")), [F.col("sid"), F.col("shard")], {"m": "_at"})
     over = over.select("shard", F.explode(F.sequence(F.col("_at"), F.col("_at") + F.col("m") - 1)).alias("k"))
+    got = c.groupBy("sid").agg(F.sum("n").alias("drawn"))
     lack = quotas.where("quota > 0").join(got, "sid", "left").select("sid", F.coalesce("drawn", F.lit(0)).alias("drawn"), "quota").where("quota > drawn")
     lack = running(lack.withColumn("m", F.col("quota") - F.col("drawn")), [F.col("sid")], {"m": "_at"})
     lack = lack.select("sid", "drawn", F.posexplode(F.sequence(F.col("_at"), F.col("_at") + F.col("m") - 1)).alias("i", "k"))
@@ -125,7 +132,9 @@ def shard_counts(quotas: DataFrame, shard_slots: int, seed: int = SEED) -> DataF
 
 def draw(sources: DataFrame, shard_slots: int, seed: int = SEED) -> DataFrame:
     """(shard, sid, block, pass) for sources (sid, blocks, quota): the plan of the mix, one row a slot."""
-    counts = shard_counts(sources.select("sid", "quota"), shard_slots, seed).join(sources.select("sid", "source", "blocks"), "sid")
+    counts = cut(shard_counts(sources.select("sid", "quota"), shard_slots, seed), "mix-plan")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    counts = counts.join(sources.select("sid", "source", "blocks"), "sid").repartition(max(partitions(counts.sparkSession), total // TASK_SLOTS), "shard", "sid")
     j = counts.select("shard", "sid", "source", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("_j"))
     j = j.withColumn("pass", F.floor(F.col("_j") / F.col("blocks"))).withColumn("block", F.pmod("_j", F.col("blocks")))
     return j.select("shard", "sid", permuted(F.col("block"), F.col("blocks"), F.lit(seed), F.coalesce("source", F.lit("")), F.col("source").isNull(), F.col("pass")).alias("block"), "pass")
@@ -149,7 +158,7 @@ def mix(docs: DataFrame, *, block_words: int = 64, shard_slots: int = 4096, weig
     sources = sources.withColumn("blocks", n_blocks).withColumn("quota", F.when(F.col("source_size") > 0, F.least(F.round(F.col("target") * F.col("blocks") / F.col("source_size")), F.floor(cap * F.col("blocks")))).otherwise(0).cast("long"))
     sources = cut(sources, "mix-sources")
     sizes = sizes.alias("d").join(sources.select(F.col("source").alias("_s"), "sid"), F.col("d.source").eqNullSafe(F.col("_s"))).drop("_s")
-    at = place(sizes, sources)
+    at = place(sizes)
     b = F.col("block")
     blocks = at.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words))))
     begin, end = F.greatest("start", b * block_words), F.least(F.col("start") + F.col("size"), (b + 1) * block_words)

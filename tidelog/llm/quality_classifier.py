@@ -55,7 +55,7 @@ def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    norm = np.sqrt((x * x).sum(1, keepdims=True))
+    norm = np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
     return np.divide(x, norm, out=x, where=norm > 0)
 
 
@@ -83,9 +83,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, bound: int = 4000, terms: int = 4
     labels_ = got.label.to_numpy(np.float32)
     if not len(got) or labels_.min() == labels_.max():
         return None
-    counts = np.expm1(np.stack([np.frombuffer(r, np.float16) for r in got.x]).astype(np.float32))
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0.5).sum(0))).astype(np.float32) + 1
-    x = _weighted(counts, idf)
+    x = np.empty((len(got), terms), np.float32)
+    for i, r in enumerate(got.x):
+        x[i] = np.frombuffer(r, np.float16)
+    del got
+    idf = np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))).astype(np.float32) + 1
+    x *= idf
+    _unit(x)
     rng = np.random.default_rng(11)
     latent = min(latent, *x.shape)
     y = x @ rng.standard_normal((x.shape[1], min(latent + 16, min(x.shape)))).astype(np.float32)
