@@ -6,7 +6,9 @@ SCHEMA = "vec_id long, embedding array<float>, v int, score string"
 
 
 def exact(ids, x, q, k):
-    s = A.scores(x[q : q + 1], x)[0]
+    s = np.zeros(len(x))
+    for j in range(x.shape[1]):
+        s += x[q, j] * x[:, j]
     s[ids == ids[q]] = -np.inf
     order = [i for i in np.lexsort((ids, -s)) if s[i] > -np.inf][:k]
     return [(int(ids[i]), s[i]) for i in order]
@@ -27,6 +29,22 @@ def test_recall_and_order(spark, sf):
     assert np.mean(hits) >= 0.9
 
 
+def test_clusters_are_pruned(spark, monkeypatch):
+    """Of clustered vectors, a small share of the leaves holds the answers."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 16)) * 4
+    x = centres[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 16)) * 0.5
+    v = A.cut(A.valid_vectors(spark.createDataFrame([(i, e.tolist(), 0, "") for i, e in enumerate(x)], SCHEMA), "vec_id", "embedding"), "t")
+    seen = []
+    whole = A.calibrated
+    monkeypatch.setattr(A, "calibrated", lambda rows, queries, tree, *a: seen.append((whole(rows, queries, tree, *a), tree.n_leaves)) or seen[-1][0])
+    got = A.search(v, v.where("vec_id % 20 = 0")).toPandas()
+    (visits, _), leaves = seen[0]
+    assert leaves > 30 and visits < leaves / 3
+    hits = [len({i for i, _ in exact(np.arange(6000), x, q, 20)} & set(got[got.query_id == q].vec_id)) / 20 for q in range(0, 6000, 20)]
+    assert np.mean(hits) >= 0.9
+
+
 def test_copies_ties_and_odd_vectors(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(60)] + [(100 + i, rng.normal(size=3).tolist()) for i in range(40)]
