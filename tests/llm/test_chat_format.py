@@ -33,9 +33,10 @@ def run(spark, rows, **options):
 
 def test_windows(spark):
     text = lambda n: " ".join(["abc"] * n)
-    rows = [(1, 0, "system", "be good", 0, 0)] + [(1, i, "user" if i % 2 else "assistant", text(20 + i), 0, 0) for i in range(1, 60)]
-    rows += [(2, 0, "user", text(500), 0, 0), (2, 1, "assistant", text(3), 0, 0), (3, 0, "system", text(90), 0, 0), (3, 1, "assistant", "x", 0, 0)]
-    got = sorted(run(spark, rows, budget=200, history=50).collect(), key=lambda r: (r.conv_id, r.window))
+    turn = lambda c, i, role, t: (c, i, role, t, len(t.split()) + 4, 0)
+    rows = [turn(1, 0, "system", "be good")] + [turn(1, i, "user" if i % 2 else "assistant", text(20 + i)) for i in range(1, 60)]
+    rows += [turn(2, 0, "user", text(500)), turn(2, 1, "assistant", text(3)), turn(3, 0, "system", text(90)), turn(3, 1, "assistant", "x"), turn(3, 2, "user", text(120)), turn(3, 3, "user", text(90))]
+    got = sorted(run(spark, rows, budget=200, history=50, tokens="n").collect(), key=lambda r: (r.conv_id, r.window))
     one = [r for r in got if r.conv_id == 1]
     assert len(one) > 8 and all(r.n_tokens <= 200 and not r.over_budget for r in one)
     assert all(r.formatted.startswith("<|im_start|>system\nbe good<|im_end|>\n") for r in one)
@@ -43,6 +44,10 @@ def test_windows(spark):
     targets = [r.formatted[s.start : s.start + s.length] for r in one for s in r.loss]
     assert targets == [r[3] for r in rows if r[0] == 1 and r[2] == "assistant"]
     assert [r.over_budget for r in got if r.conv_id == 2] == [True, False]
+    # history goes before the system turn, and that only where the two don't fit
+    assert [(r.formatted.count("<|im_start|>"), r.n_repeated, r.n_tokens) for r in got if r.conv_id == 3] == [(2, 0, 99), (1, 0, 124), (2, 1, 188)]
+    plain = run(spark, rows, budget=900, history=200).collect()
+    assert all(r.n_tokens == len(r.formatted.encode()) and (r.n_tokens <= 900 or r.conv_id == 2) for r in plain)
 
 
 def test_odd_turns(spark):

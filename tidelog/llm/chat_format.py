@@ -37,13 +37,16 @@ def _unescape_role(role: Column) -> Column:
     return F.replace(F.replace(F.replace(role, F.lit("%7C"), F.lit("|")), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
 
 
-def turn_tokens(text: Column) -> Column:
-    """Token count of a turn as the budget counts it: runs of word characters, other characters, and 4 for the marks."""
-    return (F.regexp_count(text, F.lit(r"\w{1,6}|[^\w\s]")) + 4).cast("long")
+def _formatted(role: Column, text: Column) -> tuple[Column, Column]:
+    """(head, body) of a turn; END follows."""
+    return F.concat(F.lit(START), _escape_role(role), F.lit("\n")), escape(text)
 
 
-def format_windows(turns: DataFrame, *, budget: int = 2048, history: int = 256) -> DataFrame:
-    """Windows of the conversations in turns (conv_id, turn, role, text); other columns aren't read.
+def format_windows(turns: DataFrame, *, budget: int = 2048, history: int = 256, tokens: str | None = None) -> DataFrame:
+    """Windows of the conversations in turns (conv_id, turn, role, text, and the column that tokens names); other columns aren't read.
+
+    tokens: the column with the number of tokens of each formatted turn. Without it a turn counts as many as its formatted
+    bytes, which no byte-level tokenizer exceeds, so that no window of more than one own turn has more tokens than the budget.
 
     One row a window: conv_id, window (long, ascending in the conversation, not dense), formatted, n_repeated (leading
     turns that repeat earlier windows), loss (array of struct start, length in code points of formatted, around each
@@ -51,18 +54,21 @@ def format_windows(turns: DataFrame, *, budget: int = 2048, history: int = 256)
 
     A conversation is the rows of one conv_id, null too, ordered by turn (null last), then role, then text; null roles
     and texts are empty; repeated rows are turns of their own. Its first turn is the system turn if its role is
-    ``system`` and it takes at most a quarter of the budget; a longer one opens the first window only. Turns of more
-    than half of the room for own turns get a window to themselves, without history; only such a window can exceed the
-    budget. An empty table gives no windows.
+    ``system``. Turns of more than half of the room for own turns get a window to themselves; where such a turn, the history and the
+    system turn exceed the budget, the history is left out, and the system turn where the two still do. Only such
+    a window can exceed the budget. A null count of tokens is 0. An empty table gives no windows.
     """
-    t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    t = t.withColumn("n", turn_tokens(F.col("text")))
+    given = F.lit(None) if tokens is None else F.col(tokens)
+    t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), given.cast("long").alias("given"))
+    head, body = _formatted(F.col("role"), F.col("text"))
+    size = F.octet_length(head) + F.octet_length(body) + len(END)
+    t = t.withColumn("n", (size if tokens is None else F.coalesce("given", F.lit(0))).cast("long")).drop("given")
     conv = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
     upto, before = conv.rowsBetween(Window.unboundedPreceding, Window.currentRow), conv.rowsBetween(Window.unboundedPreceding, -1)
     t = t.withColumn("i", F.row_number().over(conv) - 1)
-    t = t.withColumn("system", (F.col("i") == 0) & (F.col("role") == "system") & (F.col("n") <= budget // 4))
+    t = t.withColumn("system", (F.col("i") == 0) & (F.col("role") == "system"))
     t = t.withColumn("sys_n", F.first(F.when(F.col("system"), F.col("n"))).over(upto))
-    room = F.lit(budget - history) - F.coalesce("sys_n", F.lit(0))
+    room = F.greatest(F.lit(2), F.lit(budget - history) - F.coalesce("sys_n", F.lit(0)))
     t = t.withColumn("big", (~F.col("system") & (F.col("n") > room / 2)).cast("int"))
     t = t.withColumn("run", 2 * F.sum("big").over(upto) - F.col("big"))  # odd for a big turn, even between two
     t = t.withColumn("at", F.coalesce(F.sum(F.when(F.col("system"), 0).otherwise(F.col("n"))).over(before), F.lit(0)))
@@ -78,18 +84,19 @@ def format_windows(turns: DataFrame, *, budget: int = 2048, history: int = 256)
         F.struct(F.col("first").alias("window"), F.lit(0).alias("kind")),
         F.when((F.col("next") < F.col("n_turns")) & ~F.col("system") & (F.col("end") - F.col("at") <= history), F.struct(F.col("next").alias("window"), F.lit(1).alias("kind"))),
     )
-    rows = t.select("conv_id", "i", "role", "text", "n", "big", F.col("first").alias("own"), F.explode(F.filter(copies, lambda x: x.isNotNull())).alias("c"))
-    rows = rows.select("conv_id", F.col("c.window").alias("window"), (F.col("c.kind") == 1).alias("repeat"), "i", "role", "text", "n", "big")
+    rows = t.select("conv_id", "i", "role", "text", "n", F.col("first").alias("own"), F.explode(F.filter(copies, lambda x: x.isNotNull())).alias("c"))
+    rows = rows.select("conv_id", F.col("c.window").alias("window"), (F.col("c.kind") == 1).alias("repeat"), "i", "role", "text", "n", F.lit(False).alias("sys"))
     heads = t.where("system").select(F.col("conv_id").alias("_conv"), F.col("role").alias("_role"), F.col("text").alias("_text"), F.col("n").alias("_n"))
     later = t.where("i = first AND first > 0").select("conv_id", F.col("first").alias("window"))
-    again = later.join(heads, F.col("conv_id").eqNullSafe(F.col("_conv"))).select("conv_id", "window", F.lit(True).alias("repeat"), F.lit(0).alias("i"), F.col("_role").alias("role"), F.col("_text").alias("text"), F.col("_n").alias("n"), F.lit(0).alias("big"))
+    again = later.join(heads, F.col("conv_id").eqNullSafe(F.col("_conv"))).select("conv_id", "window", F.lit(True).alias("repeat"), F.lit(0).alias("i"), F.col("_role").alias("role"), F.col("_text").alias("text"), F.col("_n").alias("n"), F.lit(True).alias("sys"))
     rows = rows.unionByName(again)
-    head = F.concat(F.lit(START), _escape_role(F.col("role")), F.lit("\n"))
-    rows = rows.withColumn("head", head).withColumn("body", escape(F.col("text")))
-    rows = rows.select("conv_id", "window", "n", "repeat", "big", F.struct("i", "repeat", (F.col("role") == "assistant").alias("target"), "head", "body").alias("turn"))
-    packed = rows.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list("turn")).alias("turns"), F.sum("n").alias("n_tokens"), F.max(F.when(~F.col("repeat"), F.col("big"))).alias("alone"))
-    # a big turn's window has no history
-    packed = packed.withColumn("turns", F.when(F.col("alone") == 1, F.filter("turns", lambda x: ~x["repeat"] | (x["i"] == 0))).otherwise(F.col("turns")))
+    rows = rows.withColumn("head", head).withColumn("body", body)
+    rows = rows.select("conv_id", "window", "n", "repeat", "sys", F.struct("i", "repeat", (F.col("role") == "assistant").alias("target"), "head", "body", "sys", "n").alias("turn"))
+    total = lambda when: F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0))
+    packed = rows.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list("turn")).alias("turns"), total(~F.col("repeat")).alias("own"), total(F.col("sys")).alias("first"), F.sum("n").alias("all"))
+    fits = (F.col("all") <= budget, F.col("own") + F.col("first") <= budget)
+    packed = packed.withColumn("turns", F.when(fits[0], F.col("turns")).otherwise(F.filter("turns", lambda x: ~x["repeat"] | (x["sys"] & fits[1]))))
+    packed = packed.withColumn("n_tokens", F.aggregate("turns", F.lit(0).cast("long"), lambda a, x: a + x["n"]))
     return packed.select(
         "conv_id",
         F.col("window").cast("long").alias("window"),
