@@ -48,15 +48,6 @@ def knn(vectors: DataFrame, query: list[float], k: int, metric: str = "cosine",
     return d.orderBy(order, *(tie or [])).limit(k)
 
 
-def knn_join(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", *, query_id: str, vector_id: str, vector: str = "embedding") -> DataFrame:
-    """The k nearest of each query: (query_id, vector_id, distance, rank). queries must be a small, stated set."""
-    q = queries.select(F.col(query_id).alias("_q"), F.col(vector).alias("_qv"))
-    both = vectors.crossJoin(F.broadcast(q)).where(F.col(vector_id) != F.col("_q"))
-    d = both.select("_q", F.col(vector_id), index_distance(F.col(vector), F.col("_qv"), metric).alias("distance"))
-    w = Window.partitionBy("_q").orderBy(F.asc("distance") if ASCENDING[metric] else F.desc("distance"), vector_id)
-    return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumnRenamed("_q", query_id)
-
-
 def truncated(v: Column, d: int) -> Column:
     """The first d components."""
     return F.slice(v, 1, d)
@@ -86,6 +77,11 @@ def dequantise(q: Column, low: Column, step: Column) -> Column:
     return F.zip_with(F.zip_with(q, step, lambda x, s: x * s), low, lambda x, l: x + l)
 
 
+def asymmetric_distance(query: list[float], codes: Column, low: Column, step: Column, metric: str) -> Column:
+    """Distance of a query as it is to a vector kept as codes: only the kept side is rounded."""
+    return index_distance(dequantise(codes, low, step), F.array(*[F.lit(float(x)) for x in query]), metric)
+
+
 def embed(df: DataFrame, text: str, embedder: Callable[[list[str]], list[list[float]]], *, batch: int = 64, out: str = "embedding") -> DataFrame:
     """df with vectors of a column's texts from any embedder, batch by batch."""
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import intent_boost, time_decay
-from ..functions.vector import dot, norm
-from .fusion import CHANNEL_WEIGHTS, K
+from ..functions.text import intent, intent_boost, subjects, time_decay
+from ..functions.vector import dot, knn, norm
+from .fusion import CHANNEL_WEIGHTS, K, ranked
+from .text_index import bm25
 
 DAY = 86_400
 #: Weight and half life (seconds) of each kind of memory.
@@ -38,7 +41,7 @@ def current(memories: DataFrame, *, score: str | None = None) -> DataFrame:
     return keyed.unionByName(memories.where(loose)).where("NOT tombstoned")
 
 
-def recall(memories: DataFrame, channels: DataFrame, *, now: Column, query_intent: str = "identity", namespace: str | None = None, min_confidence: float | None = None, since=None, k: int = 10) -> DataFrame:
+def recall(memories: DataFrame, channels: DataFrame, *, now: Column, query_intent: str | Column = "identity", namespace: str | None = None, min_confidence: float | None = None, since=None, k: int = 10) -> DataFrame:
     """The k best memories: weighted RRF over channels (channel, memory_id, rank from 0), times type weight, decay, confidence and
     intent boost, halved where a column ``polarity`` says ``conflicting``; then superseded and tombstoned ones go. Boosts read the columns
     ``object`` (a number?) and ``due_at``, where memories have them."""
@@ -53,7 +56,7 @@ def recall(memories: DataFrame, channels: DataFrame, *, now: Column, query_inten
         m = m.where(F.col("created_at") >= F.lit(since).cast("timestamp"))
     kind = F.col("type")
     number = F.coalesce(F.col("object").cast("string").rlike(NUMBER), F.lit(False)) if "object" in m.columns else None
-    boost = intent_boost(F.lit(query_intent), kind, F.col("text"), object_is_number=number, due_at=F.col("due_at") if "due_at" in m.columns else None)
+    boost = intent_boost(F.lit(query_intent) if isinstance(query_intent, str) else query_intent, kind, F.col("text"), object_is_number=number, due_at=F.col("due_at") if "due_at" in m.columns else None)
     if "polarity" in m.columns:
         boost = boost * F.when(F.col("polarity") == CONFLICTING, F.lit(CONFLICT_PENALTY)).otherwise(F.lit(1.0))
     score = F.col("rrf") * _by_kind(TYPE_WEIGHTS, kind) * time_decay(F.col("valid_from"), now, _by_kind(HALF_LIVES, kind)) * F.col("confidence") * boost
@@ -61,6 +64,33 @@ def recall(memories: DataFrame, channels: DataFrame, *, now: Column, query_inten
     return current(scored, score="score").orderBy(F.desc("score"), "memory_id").limit(k)
 
 
+def channels(memories: DataFrame, question: str, *, predicate: str | None = None, vector: list[float] | None = None, limit: int = 200) -> DataFrame:
+    """(channel, memory_id, rank) of the memories that a question finds: by BM25 of their texts, by what it is about (subject or key),
+    by a SQL predicate (latest first) and by the nearest vectors, where these are given."""
+    lists = [ranked(bm25(memories, "memory_id", "text", re.findall(r"[^\W_]+", question)), "bm25", "score", ["memory_id"], limit=limit)]
+    about = subjects(F.lit(question))
+    own = [F.array_contains(about, F.lower(F.col(c).cast("string"))).cast("int") for c in ("subject", "key") if c in memories.columns]
+    hits = F.coalesce(own[0], F.lit(0))
+    for h in own[1:]:
+        hits = hits + F.coalesce(h, F.lit(0))
+    lists.append(ranked(memories.select("memory_id", hits.alias("s")).where("s > 0"), "key_match", "s", ["memory_id"], limit=limit))
+    if predicate is not None:
+        lists.append(ranked(memories.where(predicate).select("memory_id", F.unix_micros("created_at").alias("s")), "sql", "s", ["memory_id"], limit=limit))
+    if vector is not None:
+        near = knn(memories, vector, limit, tie=["memory_id"]).select("memory_id", "distance")
+        lists.append(ranked(near, "vector", "distance", ["memory_id"], ascending=True, limit=limit))
+    out = lists[0]
+    for x in lists[1:]:
+        out = out.unionByName(x)
+    return out.select(F.col("mode").alias("channel"), "memory_id", "rank")
+
+
+def ask(memories: DataFrame, question: str, *, now: Column, predicate: str | None = None, vector: list[float] | None = None, k: int = 10, **filters) -> DataFrame:
+    """The k best memories for a question: its channels, fused and weighed by recall() under the question's intent."""
+    found = channels(memories, question, predicate=predicate, vector=vector)
+    return recall(memories, found, now=now, query_intent=intent(F.lit(question)), k=k, **filters)
+
+
 def forget(memories: DataFrame, ids: DataFrame) -> DataFrame:
     """Tombstones for the memories of ids (memory_id), to be appended."""
     return memories.join(ids.select("memory_id").distinct(), "memory_id", "left_semi").withColumn("version", F.lit(TOMBSTONE)).withColumn("tombstoned", F.lit(True))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import log_queries, memory_queries, search_queries, sql_queries
+from . import log_queries, memory_queries, more_queries, search_queries, sql_queries
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _m in (log_queries, sql_queries, search_queries, memory_queries):
+for _m in (log_queries, sql_queries, search_queries, memory_queries, more_queries):
     QUERIES |= _m.QUERIES
     ORACLE_SQL |= _m.ORACLE_SQL

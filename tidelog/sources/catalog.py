@@ -130,7 +130,24 @@ def time_key(unit: str):
 
 
 def time_partitions(df: DataFrame, unit: str, keys: list[str]) -> DataFrame:
-    return df.where(time_key(unit).isin(keys))
+    """Rows of hours or days named by their keys: as ranges of _timestamp, which reach the scan, and by the folders that
+    write_segments makes, where df has them as a column."""
+    size = {"hour": 3_600, "day": 86_400}[unit]
+    numbers = sorted({int(k) for k in keys if len(k) == 10 and k.isdigit()})
+    within = F.lit(False)
+    at = 0
+    while at < len(numbers):  # neighbouring keys are one range
+        to = at
+        while to + 1 < len(numbers) and numbers[to + 1] == numbers[to] + 1:
+            to += 1
+        first, last = (F.timestamp_seconds(F.lit(x * size)) for x in (numbers[at], numbers[to] + 1))
+        within = within | ((F.col("_timestamp") >= first) & (F.col("_timestamp") < last))
+        at = to + 1
+    out = df.where(within)
+    if unit in df.columns:
+        text = df.schema[unit].dataType.typeName() == "string"
+        out = out.where(F.col(unit).isin([f"{n:010d}" if text else n for n in numbers]))
+    return out
 
 
 def manifest(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -74,12 +74,13 @@ def check_dimension(vector: Column, d: int) -> Column:
     return F.when(vector.isNull() | (F.size(vector) == d), vector).otherwise(F.raise_error(F.concat(F.lit(f"expected {d} dimensions, got "), F.size(vector).cast("string"))).cast("array<float>"))
 
 
-def write_segments(df: DataFrame, path: str, *, unit: str | None = None, codec: str = "zstd", bloom: list[str] | None = None, row_group_bytes: int | None = None, mode: str = "append") -> None:
-    """Parquet files by topic, partition and, if asked for, hour or day, sorted by offset within a file."""
+def write_segments(df: DataFrame, path: str, *, unit: str | None = None, codec: str = "zstd", bloom: list[str] | None = None, row_group_bytes: int | None = None, mode: str = "append", file_rows: int = 5_000_000) -> None:
+    """Parquet files by topic, partition and, if asked for, hour or day, sorted by offset within a file; a busy partition is dealt to
+    a task for every file_rows offsets."""
     by = ["_topic", "_partition"] + ([unit] if unit else [])
     if unit:
         df = df.withColumn(unit, time_key(unit))
-    out = df.repartition(*by).sortWithinPartitions(*by, "_offset").write.mode(mode).option("compression", codec).partitionBy(*by)
+    out = df.repartition(*by, F.floor(F.col("_offset") / file_rows)).sortWithinPartitions(*by, "_offset").write.mode(mode).option("compression", codec).option("maxRecordsPerFile", file_rows).partitionBy(*by)
     for c in bloom or []:
         out = out.option(f"parquet.bloom.filter.enabled#{c}", "true")
     if row_group_bytes:

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: A window's rows are let in until so many window sizes have passed.
-RETAIN = 10
-
 
 def number(field: str | None, value: str = "_value") -> Column:
     """A field of a JSON value as a double, or the whole value; null where there is none."""
