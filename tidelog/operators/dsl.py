@@ -263,6 +263,18 @@ def granted(df: DataFrame, grants: DataFrame, ns: str = "namespace") -> DataFram
     return df.join(ok, ns, "left_semi")
 
 
+def execute(df: DataFrame, request: dict[str, Any], mode: str = "top_docs", *, score: Column | None = None, tie: list[str] | None = None) -> DataFrame:
+    """A request's hits as ``top_docs`` (search), ``count`` (one row: total) or ``all`` (every hit, no order)."""
+    if mode == "top_docs":
+        return search(df, request, score=score, tie=tie)
+    hits = df.where(compile_query(df, request["query"])) if "query" in request else df
+    if mode == "count":
+        return hits.agg(F.count(F.lit(1)).alias("total"))
+    if mode != "all":
+        raise QueryError(f"unknown mode {mode!r}")
+    return hits.select(*request["_source"]) if request.get("_source") else hits
+
+
 def search(df: DataFrame, request: dict[str, Any], *, score: Column | None = None, tie: list[str] | None = None) -> DataFrame:
     """Hits of a request with query, sort, from, size and _source."""
     hits = df.where(compile_query(df, request["query"])) if "query" in request else df

@@ -44,8 +44,8 @@ class TextIndex:
 
     def exists(self) -> bool:
         """Whether a batch is there as a whole: its row in parts is written last."""
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/parts/_SUCCESS")
-        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder)
+        batches = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/parts/epoch=*")
+        return bool(batches.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(batches))
 
     def add(self, docs: DataFrame, text: str, *, epoch: int = 0) -> TextIndex:
         """Index the documents of docs (id_col, text) as one batch; a batch of the same epoch is replaced."""

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text, vector
 from ..operators import dsl, fusion, joins, memory
+from ..operators.vector_index import VectorIndex
 from ..sources import sinks
 from . import log_queries as L
 from . import memory_queries as M
@@ -42,6 +45,24 @@ def q_knn_asymmetric(spark, d):
     return far.orderBy("distance", "vec_id").limit(15).select("vec_id", F.round("distance", 5).alias("distance"))
 
 
+def q_knn_index_recall(spark, d):
+    """Whether the index finds at least 9 of 10 of what an exact search does, over ten queries."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding")
+    index = VectorIndex(spark, f"{base.rstrip('/')}/tidelog-vectors-{uuid.uuid4().hex}", id_col="vec_id").build(e)
+    queries = [list(r.embedding) for r in e.where("vec_id % 10 = 3").orderBy("vec_id").limit(10).collect()]
+    both = None
+    for i, q in enumerate(queries):
+        hits = index.search(q, 10).select("vec_id").join(vector.knn(e, q, 10, "cosine", tie=["vec_id"]).select("vec_id"), "vec_id").withColumn("q", F.lit(i))
+        both = hits if both is None else both.unionByName(hits)
+    return both.agg((F.count(F.lit(1)) >= 9 * len(queries)).alias("enough"))
+
+
+def q_count_hits(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return dsl.execute(docs, {"query": {"range": {"n_chars": {"gt": 500}}}}, "count")
+
+
 def q_advance_flushed(spark, d):
     t = L.events_topic(spark, d)
     flushed = spark.createDataFrame([("events", 0, 10**9), ("events", 1, 5)], "_topic string, _partition int, flushed_offset long")
@@ -105,6 +126,8 @@ ORACLE_SQL = {
     "asof_join": "SELECT l.event_id, r.event_id AS click_id FROM (SELECT * FROM events WHERE event_type = 'purchase') l ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'click' GROUP BY user_id, ts) r ON l.user_id = r.user_id AND l.ts >= r.ts",
     "interval_join": "SELECT a.event_id, b.event_id AS right_event_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'error' AND b.event_type = 'signup' AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 3600000000",
     "knn_asymmetric": f"WITH x AS (SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 65) t(i)), s AS (SELECT i, min(v) AS lo, CASE WHEN max(v) = min(v) THEN 1.0 ELSE max(v) - min(v) END / 255 AS st FROM x GROUP BY i), c AS (SELECT vec_id, sqrt(sum(pow(lo + st * greatest(0, least(255, floor((v - lo) / st))) - {_Q}[i], 2))) AS dist FROM x JOIN s USING (i) GROUP BY vec_id) SELECT vec_id, round(dist, 5) AS distance FROM c ORDER BY dist, vec_id LIMIT 15",
+    "knn_index_recall": "SELECT true AS enough",
+    "count_hits": "SELECT count(*) AS total FROM documents WHERE n_chars > 500",
     "advance_flushed": f"SELECT p AS _partition, max(m) AS flushed_offset FROM (SELECT p, max(o) AS m FROM {L.LOG} WHERE o % 3 = 0 GROUP BY p UNION ALL SELECT 0, 1000000000 UNION ALL SELECT 1, 5) GROUP BY p",
     "embedding_text": f"SELECT o AS _offset, k, event_type AS e, CAST(user_id AS VARCHAR) AS u FROM {L.LOG}",
     "missing_vectors": f"SELECT o AS _offset FROM {L.LOG} WHERE o % 5 = 2",
