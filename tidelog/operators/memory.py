@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import intent, intent_boost, subjects, time_decay
+from ..functions.text import intent, intent_boost, rule_facts, subjects, time_decay
 from ..functions.vector import dot, knn, norm
 from .fusion import CHANNEL_WEIGHTS, K, ranked
 from .text_index import bm25
@@ -91,6 +91,24 @@ def ask(memories: DataFrame, question: str, *, now: Column, predicate: str | Non
     return recall(memories, found, now=now, query_intent=intent(F.lit(question)), k=k, **filters)
 
 
+#: What a rule's find says of a turn's role, with the words between the two, and how sure rules are.
+RULE_PREDICATES = {"email": ("has_email", "has email"), "phone": ("has_phone", "has phone"), "url": ("mentioned_url", "mentioned"), "date": ("mentioned_date", "mentioned")}
+RULE_CONFIDENCE = 0.6
+
+
+def extract(turns: DataFrame) -> DataFrame:
+    """What the rules find in turns (role, text, ...): one row a find, turns' columns but text kept, with type (``fact``, a date ``event``),
+    subject (the role), predicate, object, text, key (subject|predicate, null for events) and confidence. Finds are trimmed; dates
+    that no calendar has are left out."""
+    names = [c for c in turns.columns if c not in ("role", "text")]
+    found = turns.select(*names, F.col("role").alias("subject"), F.explode(rule_facts(F.col("text"))).alias("f"))
+    found = found.where((F.col("f.kind") != "date") | F.col("f.value").try_cast("timestamp").isNotNull())
+    pick = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, v in RULE_PREDICATES.items() for x in (k, v[i])]), F.col("f.kind"))
+    dated = F.col("f.kind") == "date"
+    out = found.select(*names, F.when(dated, "event").otherwise("fact").alias("type"), "subject", pick(0).alias("predicate"), F.col("f.value").alias("object"), F.concat_ws(" ", "subject", pick(1), F.col("f.value")).alias("text"))
+    return out.withColumn("key", F.when(F.col("type") == "fact", F.concat_ws("|", "subject", "predicate"))).withColumn("confidence", F.lit(RULE_CONFIDENCE))
+
+
 def forget(memories: DataFrame, ids: DataFrame) -> DataFrame:
     """Tombstones for the memories of ids (memory_id), to be appended."""
     return memories.join(ids.select("memory_id").distinct(), "memory_id", "left_semi").withColumn("version", F.lit(TOMBSTONE)).withColumn("tombstoned", F.lit(True))

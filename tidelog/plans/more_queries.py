@@ -114,6 +114,11 @@ def q_envelopes(spark, d):
     return L.rows(fusion.with_envelopes(ids, t, ["_topic", "_partition", "_offset"]))
 
 
+def q_memory_extract(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("lang").alias("role"), "text")
+    return memory.extract(docs).groupBy("type", "subject", "predicate", "key", "confidence").agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("first"), F.max("object").alias("last"))
+
+
 def q_memory_ask(spark, d):
     m = M.memories(spark, d)
     out = memory.ask(m, "When did a Click happen, within 3 days?", now=F.lit("2024-02-01 00:00:00").cast("timestamp"), predicate="type = 'task'", min_confidence=0.1, k=25)
@@ -137,6 +142,9 @@ ORACLE_SQL = {
     "memory_polarity": f"SELECT memory_id, CASE WHEN n > 1 THEN 'conflicting' END AS polarity FROM {M.MEM} JOIN (SELECT namespace, subject, predicate, count(DISTINCT object) AS n FROM {M.MEM} GROUP BY ALL) USING (namespace, subject, predicate)",
     "provenance": "SELECT event_id AS memory_id, 'raw' AS topic FROM events WHERE event_id % 23 <> 0 AND event_id % 4 <> 0",
     "envelopes": f"SELECT p AS _partition, o AS _offset, k FROM {L.LOG} WHERE o % 10 = 3",
+    "memory_extract": "SELECT type, lang AS subject, predicate, CASE WHEN type = 'fact' THEN lang || '|' || predicate END AS key, 0.6::DOUBLE AS confidence, count(*) AS n, min(lang || ' ' || says || ' ' || v) AS first, max(v) AS last FROM ("
+    + " UNION ALL ".join(f"SELECT lang, '{p}' AS predicate, '{w}' AS says, '{'event' if k == 'date' else 'fact'}' AS type, trim(unnest(regexp_extract_all(text, '{text.RULES[k].replace(chr(39), chr(39) * 2)}')), chr(32) || '(' || chr(10) || chr(9)) AS v FROM documents" for k, (p, w) in memory.RULE_PREDICATES.items())
+    + ") WHERE type = 'fact' OR TRY_CAST(v AS TIMESTAMPTZ) IS NOT NULL GROUP BY ALL",
     "memory_ask": f"""WITH m AS {M.MEM}, c AS (SELECT count(*) AS n, count(*) FILTER (WHERE subject = 'click') AS d FROM m),
     a AS (SELECT memory_id, row_number() OVER (ORDER BY CASE WHEN subject = 'click' THEN 1 ELSE 0 END DESC, memory_id) - 1 AS r FROM m QUALIFY r < 200),
     b AS (SELECT memory_id, row_number() OVER (ORDER BY memory_id) - 1 AS r FROM m WHERE subject = 'click' QUALIFY r < 200),
