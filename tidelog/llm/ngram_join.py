@@ -464,7 +464,7 @@ def exact_pairs(sets: DataFrame, foreign: DataFrame, hubs: DataFrame, threshold:
     return rows.groupBy("bucket").applyInPandas(paired, "a long, b long, n long, m long").distinct()
 
 
-def linked(docs: DataFrame, *, threshold: int = 80, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+def linked(docs: DataFrame, *, threshold: int = 80, rounds: int = 1) -> tuple[DataFrame, DataFrame]:
     """(keys, nodes) of docs (doc_id, text, perhaps _tidelog_row): keys as document_keys gives them; nodes: k1, k2, label of each text, equal for
     texts of one component."""
     keys = cut(document_keys(docs, sampled=True), "join-keys")
@@ -525,7 +525,7 @@ def _nearest_hubs(met: list[DataFrame], sets: DataFrame) -> DataFrame:
     return best.join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("hub_shingles")), "hub").select("node", "hub", "with_hub", "hub_shingles")
 
 
-def jaccard_components(docs: DataFrame, *, threshold: int = 80, rounds: int = 2) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, threshold: int = 80, rounds: int = 1) -> DataFrame:
     """(doc_id, n_shingles, component_id) of docs (doc_id, text): one row each, other columns aren't read. If docs has a column
     ``_tidelog_row`` (long, unique), it is returned, too, with ``first``: whether the row is the one that stays of its component, by (doc_id,
     null last, _tidelog_row).
