@@ -2,6 +2,7 @@ import math
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from tidelog.llm import quality_classifier as C
@@ -89,3 +90,33 @@ def test_classifier_edges(spark):
     assert all(r.predicted == 0 for r in out if r.text and r.text.startswith("$"))
     assert C.fit(df, labels.where("label = 1")) is None
     assert C.score_documents(df.limit(0), model).count() == 0
+
+
+def test_votes_as_by_brute_force(spark, sf):
+    """Scores are those of a plain vote, text by text, and don't depend on what else is in a batch."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = C.fit(docs, C.learnable(spark.read.parquet(f"{sf}/labels.parquet")))
+    texts = [r.text or "" for r in docs.orderBy("doc_id").limit(60).collect()] + ["", "x", "é" * 5000]
+    got = C.score_texts(model, texts, 15, 4.0)
+    vectors = model.vectors.astype(float)
+    for i, text in enumerate(texts):
+        raw = (" " + text + " ").encode()
+        counts = np.zeros(len(model.idf))
+        for k in range(len(raw) - 2):
+            code = raw[k] << 16 | raw[k + 1] << 8 | raw[k + 2]
+            counts[(code * 2654435761 % 2**32) >> (32 - (len(counts) - 1).bit_length())] += 1
+        x = np.log1p(counts) * model.idf.astype(float)
+        z = x / max(1e-300, np.sqrt((x * x).sum())) @ model.axes.astype(float)
+        sims = [round(float(v), 9) for v in vectors @ (z / max(1e-300, np.sqrt((z * z).sum())))]
+        near = sorted(range(len(sims)), key=lambda j: (-sims[j], j))[:15]
+        w = [max(0.0, sims[j]) ** 4 for j in near]
+        want = sum(a * model.labels[j] for a, j in zip(w, near, strict=True)) / sum(w) if sum(w) else model.prior
+        assert abs(got[i] - want) < 1e-6, i
+    for step in (1, 7):
+        again = np.concatenate([C.score_texts(model, texts[a : a + step], 15, 4.0) for a in range(0, len(texts), step)])
+        assert (np.round(again, 9) == np.round(got, 9)).all()
+
+
+def test_ties_go_to_the_smaller_row():
+    sim = np.array([[0.5, 0.9, 0.5, 0.5, 0.1], [0.2] * 5, [0.0, 0.1, 0.2, 0.3, 0.4]])
+    assert C.voters(sim, 3).tolist() == [[0, 1, 2], [0, 1, 2], [2, 3, 4]]
