@@ -26,4 +26,5 @@ def connected_components(links: DataFrame) -> DataFrame:
         drop_cut(labels)
         labels = new
         if labels.where("component <> was").isEmpty():
+            drop_cut(both)
             return labels.select("node", "component")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordnum as W
-from .common import cut, drop_cut, ship_code, table
+from .common import cut, drop_cut, release, ship_code, table
 from .components import connected_components
 
 #: Shingles that one fragment holds, about.
@@ -493,6 +493,7 @@ def linked(docs: DataFrame, *, threshold: int = 80, rounds: int = 1) -> tuple[Da
             drop_cut(current)
             current = cut(relabelled.drop("shared").join(counted, "node").where(F.col("shared") * 100 >= F.col("n") * threshold), "join-current")
             drop_cut(relabelled)
+            release(docs.sparkSession)
         if current.isEmpty():
             break
         if r < rounds:
@@ -506,6 +507,8 @@ def linked(docs: DataFrame, *, threshold: int = 80, rounds: int = 1) -> tuple[Da
             for x in links[1:]:
                 joined = joined.unionByName(x)
             labels = cut(connected_components(joined).select("node", "component"), "join-labels")
+    for table_ in (parts, current, *met):
+        drop_cut(table_)
     known = texts.join(sets.select("k1", "k2", "node"), ["k1", "k2"], "left")
     if labels is not None:
         known = known.join(labels, "node", "left").withColumn("node", F.coalesce("component", "node"))
