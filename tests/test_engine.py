@@ -2,6 +2,8 @@
 
 import datetime as dt
 import json
+import math
+import random
 
 import duckdb
 import pytest
@@ -334,6 +336,40 @@ def test_schemas():
     assert logops.memory_topic("acme:user:1", "fact") == "mem.fact.acme" and logops.memory_topic("acme:u:1", "raw") == "mem.raw.acme.u.1"
 
 
+def test_semantic_dedup_pairs_no_copies(spark, monkeypatch):
+    """The decisions of all pairs, over several blocks; vectors' products come from matrices, never from a join of the facts with themselves."""
+    monkeypatch.setattr(memory, "DEDUP_BLOCK", 3)
+    rng = random.Random(5)
+    base = [[rng.choice([-1.0, 0.0, 1.0]) for _ in range(6)] for _ in range(8)]
+    odd = [None, [0.0] * 6, [1.0, None, 0.0, 0.0, 0.0, 0.0], [3.0, 4.0], [6.0, 8.0], []]
+    rows = []
+    for i in range(160):
+        v = list(rng.choice(base + odd) or []) or rng.choice(odd)
+        if v and len(v) == 6 and None not in v and i % 3 == 0:
+            v = [x + rng.uniform(-0.2, 0.2) for x in v]
+        rows.append((i if i < 150 else i - 20, rng.choice(["a", None, ""]), "s", rng.choice(["p", "q", None]), rng.choice([0.1, 0.5, 0.9]), v))
+    facts = spark.createDataFrame(rows, "memory_id long, namespace string, subject string, predicate string, confidence double, embedding array<double>")
+
+    def cos(a, b):
+        if not a or not b or len(a) != len(b) or None in a or None in b:
+            return 0
+        under = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return sum(x * y for x, y in zip(a, b, strict=True)) / under if under else 0
+
+    beaten = {}
+    for a in rows:
+        for b in rows:
+            if a[1:4] == b[1:4] and a[0] != b[0] and cos(a[5], b[5]) >= 0.9:
+                beaten[a[0]] = beaten.get(a[0], False) or (-b[4], b[0]) < (-a[4], a[0])
+    want = sorted((r[0], {None: "keep", True: "drop", False: "supersede"}[beaten.get(r[0])]) for r in rows)
+    out = memory.semantic_dedup(facts, threshold=0.9)
+    assert out.columns == [*facts.columns, "decision"]
+    assert sorted((r.memory_id, r.decision) for r in out.collect()) == want
+    assert len({d for _, d in want}) == 3
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" in plan and "aggregate(zip_with" not in plan
+
+
 def test_supersession_is_idempotent(spark, sf):
     from tidelog.plans.memory_queries import memories
 

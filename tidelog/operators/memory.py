@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import intent, intent_boost, rule_facts, subjects, time_decay
-from ..functions.vector import dot, knn, norm
+from ..functions.vector import knn
 from .fusion import CHANNEL_WEIGHTS, K, ranked
 from .text_index import bm25
 
@@ -139,17 +139,113 @@ def resolve_conflicts(facts: DataFrame, strategy: str) -> DataFrame:
     return facts.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+#: Different vectors of one group that a task compares with as many others.
+DEDUP_BLOCK = 2048
+
+
+def _similar(entries: DataFrame, threshold: float, kind: str) -> DataFrame:
+    """(h1, h2, c, id): for each class of vectors the two best entries, of different ids, of each block of the classes at least that similar, itself included.
+
+    entries: task (string), g, i, j, block, h1, h2, vec, dims, c, id: a class's two best, of different ids, in each task that compares its block.
+    All pairs of blocks are compared, as matrices; products within 1e-9 of the threshold are summed anew in order, as an expression sums them.
+    """
+
+    def best(pdf):  # refers to nothing of this package, which executors may not have
+        import numpy as np
+        import pandas as pd
+
+        out = []
+        pdf = pdf.sort_values(["g", "dims", "h1", "h2"], kind="stable").reset_index(drop=True)
+        # from the surest on; of equally sure ones the smallest id; without a confidence last
+        order = pdf.assign(x=-pdf.c).sort_values(["x", "id"], kind="stable", na_position="last").index.to_numpy()
+        rank = np.empty(len(pdf), np.int64)
+        rank[order] = np.arange(len(pdf))
+        who = pd.factorize(pdf.id)[0]
+        none = len(pdf)
+        h1, h2, g, dims = pdf.h1.to_numpy(), pdf.h2.to_numpy(), pdf.g.to_numpy(), pdf.dims.to_numpy()
+        new = lambda *cs: np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cs], axis=0)])
+        first = np.flatnonzero(new(g, dims, h1, h2))
+        n = np.diff(np.append(first, len(pdf)))
+        last = first + n - 1
+        one = np.where(rank[last] < rank[first], last, first)  # of a class's one or two rows the better one
+        two = np.where(n > 1, first + last - one, -1)
+        rank1, rank2, code = rank[one], np.where(two >= 0, rank[two], none), who[one]
+        blocks = np.stack([pdf[c].to_numpy()[first] for c in ("block", "i", "j")])
+        part = np.append(np.flatnonzero(new(g[first], dims[first])), len(first))
+        for p, q in zip(part[:-1], part[1:], strict=True):
+            v = np.stack(pdf.vec.to_numpy()[first[p:q]]).astype(np.float64)
+            with np.errstate(all="ignore"):
+                size = np.zeros(q - p)
+                for k in range(v.shape[1]):
+                    size = size + v[:, k] * v[:, k]
+                size = np.sqrt(size)
+                unit = v / size[:, None]
+            own, i, j = blocks[:, p:q]
+            sides = [(np.flatnonzero(own == i), np.flatnonzero(own == j))]
+            if i[0] != j[0]:
+                sides.append(sides[0][::-1])
+            for left, right in sides:
+                step = max(1, 4_000_000 // max(1, len(right)))
+                for at in range(0, len(left), step):
+                    a = left[at : at + step]
+                    with np.errstate(all="ignore"):
+                        cos = unit[a] @ unit[right].T
+                        x, y = np.nonzero(~(cos < threshold - 1e-9))
+                        close = np.flatnonzero(~(cos[x, y] >= threshold + 1e-9))
+                        keep = np.ones(len(x), bool)
+                        for z in range(0, len(close), 100_000):
+                            c = close[z : z + 100_000]
+                            l, r = a[x[c]], right[y[c]]  # noqa: E741
+                            dot = np.zeros(len(c))
+                            for k in range(v.shape[1]):
+                                dot = dot + v[l, k] * v[r, k]
+                            under = size[l] * size[r]
+                            keep[c] = (under != 0) & ~(dot / under < threshold)  # NaN is large
+                    x, y = x[keep], p + right[y[keep]]
+                    if not len(x):
+                        continue
+                    start = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+                    top = np.minimum.reduceat(rank1[y], start)
+                    held = who[order[top]]
+                    other = np.minimum.reduceat(np.where(code[y] != np.repeat(held, np.diff(np.append(start, len(x)))), rank1[y], rank2[y]), start)
+                    owner = first[p + a[x[start]]]
+                    some = other < none
+                    place = np.concatenate([order[top], order[other[some]]])
+                    owner = np.concatenate([owner, owner[some]])
+                    out.append(pd.DataFrame({"h1": h1[owner], "h2": h2[owner], "c": pdf.c.to_numpy()[place], "id": pdf.id.to_numpy()[place]}))
+        return pd.concat(out) if out else pdf.iloc[:0][["h1", "h2", "c", "id"]]
+
+    return entries.groupBy("task").applyInPandas(best, f"h1 long, h2 long, c double, id {kind}")
+
+
 def semantic_dedup(facts: DataFrame, *, threshold: float = 0.97, vector: str = "embedding") -> DataFrame:
     """facts with decision: drop (a fact of the same subject and predicate is at least that similar, and surer, or as sure with a smaller
-    memory_id), supersede (such a one is less sure) or keep."""
+    memory_id), supersede (such a one is less sure) or keep.
+
+    Equal vectors of a subject and predicate are one class, told by 128 bits. Of it the two best facts take part, so copies are never
+    paired; classes are compared block by block, all with all. No task holds more than two blocks of a group.
+    """
     keys = ["namespace", "subject", "predicate"]
-    a, b = facts.alias("a"), facts.select(*keys, "memory_id", "confidence", vector).alias("b")
-    cos = F.try_divide(dot(F.col(f"a.{vector}"), F.col(f"b.{vector}")), norm(F.col(f"a.{vector}")) * norm(F.col(f"b.{vector}")))
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keys]
-    near = a.join(b, [*same, F.col("a.memory_id") != F.col("b.memory_id")]).select(F.col("a.memory_id").alias("memory_id"), F.col("a.confidence").alias("own"), F.col("b.memory_id").alias("other"), F.col("b.confidence").alias("theirs"), cos.alias("cos")).where(F.col("cos") >= threshold)
-    beaten = (F.col("theirs") > F.col("own")) | ((F.col("theirs") == F.col("own")) & (F.col("other") < F.col("memory_id")))
-    verdict = near.groupBy("memory_id").agg(F.max(beaten).alias("_beaten"))
-    return facts.join(verdict, "memory_id", "left").withColumn("decision", F.when(F.col("_beaten").isNull(), "keep").when(F.col("_beaten"), "drop").otherwise("supersede")).drop("_beaten")
+    vec = F.transform(vector, lambda x: x.cast("double"))
+    c = F.col("confidence").cast("double")
+    # a null confidence is neither more nor less; NaN is the largest
+    f = facts.select(F.to_json(F.struct(*keys)).alias("g"), F.col("memory_id").alias("id"), F.when(F.isnan(c), F.lit(float("inf"))).otherwise(c).alias("c"), vec.alias("vec")).where(F.col("id").isNotNull() & F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull()) & (F.size("vec") > 0))
+    f = f.withColumn("h1", F.xxhash64("g", "vec")).withColumn("h2", F.xxhash64(F.lit("2"), "vec", "g"))
+    ids = f.groupBy("h1", "h2", "id").agg(F.max("c").alias("c"), F.first("g").alias("g"), F.first("vec").alias("vec"))
+    rank = F.row_number().over(Window.partitionBy("h1", "h2").orderBy(F.col("c").desc_nulls_last(), "id"))
+    top = ids.withColumn("_rn", rank).where("_rn <= 2").drop("_rn")
+    blocks = top.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(2 * DEDUP_BLOCK)).alias("blocks"))  # two rows a class at most
+    entries = top.join(blocks, "g").withColumn("block", F.pmod("h1", "blocks")).withColumn("dims", F.size("vec"))
+    entries = entries.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("i", F.least("block", "_o")).withColumn("j", F.greatest("block", "_o")).drop("_o")
+    many = 8 * int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    small = F.concat(F.lit("small "), F.pmod(F.xxhash64("g"), F.lit(many)).cast("string"))
+    entries = entries.withColumn("task", F.when(F.col("blocks") == 1, small).otherwise(F.concat_ws(" ", "i", "j", "g"))).drop("blocks")
+    near = _similar(entries, threshold, facts.schema["memory_id"].dataType.simpleString())
+    near = near.withColumnRenamed("id", "_id").withColumnRenamed("c", "_c")
+    pairs = f.select("h1", "h2", "id", "c").join(near, ["h1", "h2"]).where("id <> _id")
+    beaten = F.coalesce((F.col("_c") > F.col("c")) | ((F.col("_c") == F.col("c")) & (F.col("_id") < F.col("id"))), F.lit(False))
+    verdict = pairs.groupBy(F.col("id").alias("memory_id")).agg(F.max(beaten).alias("_beaten"))
+    return facts.join(verdict, "memory_id", "left").select(*facts.columns, F.when(F.col("_beaten").isNull(), "keep").when(F.col("_beaten"), "drop").otherwise("supersede").alias("decision"))
 
 
 def dedup_report(decided: DataFrame, *, namespace: str | None = None) -> DataFrame:
