@@ -54,6 +54,21 @@ def test_log_ratio_by_hand(spark):
     assert out[1].score > out[2].score > out[3].score
 
 
+def test_trusted_texts_alone_are_shuffled(spark, sf, monkeypatch):
+    """The plan is the same for small tables, and ids are looked up before texts go into a shuffle."""
+    plans, whole = [], R.cut
+
+    def cut(df, name):
+        plans.append((df._jdf.queryExecution().optimizedPlan().toString(), df._jdf.queryExecution().sparkPlan().toString()))
+        return whole(df, name)
+
+    monkeypatch.setattr(R, "cut", cut)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    R.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1"), buckets=64)
+    assert "might_contain" in plans[0][0] and "SortMergeJoin" in plans[0][1] and "Broadcast" not in plans[0][1]
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+
+
 def test_rules_without_anything(spark):
     none = spark.createDataFrame([], DOCS)
     assert R.quality_rules(none, none.select("doc_id")).count() == 0
