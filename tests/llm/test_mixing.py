@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidelog.llm import mixing as M
 
@@ -110,3 +111,23 @@ def test_edges(spark):
     out = M.mix_documents(spark.createDataFrame(rows, DOCS))
     assert out.columns == ["doc_id", "text", "source", "size", "target"]
     assert M.mix_documents(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_no_more_ranges_than_rows_need(spark, monkeypatch):
+    """Prefix sums of a few thousand rows are a few tasks, however many partitions the session has."""
+    tables, whole = [], M.cut
+
+    def cut(df, name):
+        tables.append(whole(df, name))
+        return tables[-1]
+
+    monkeypatch.setattr(M, "cut", cut)
+    monkeypatch.setattr(M, "TASK_ROWS", 1000)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        out = M.running(spark.range(2500).withColumn("x", F.lit(2).cast("long")), [F.col("id")], {"x": "y"})
+        assert all(r.y == 2 * r.id for r in out.collect())
+        assert len(tables[0].inputFiles()) <= 3
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

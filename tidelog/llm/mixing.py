@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK_CHARS, cut, drop_cut, let, partitions, table, words
+from .common import BLANK_CHARS, cut, drop_cut, let, partitions, release, table, words
 
 SEED = 20_240_607
 ROUNDS = 12
@@ -32,13 +32,14 @@ TASK_ROWS = 10_000
 def running(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
     """df with, for each column c of sums, the sum of c over the rows before in order, named sums[c]; order tells all rows apart.
 
-    More than TASK_ROWS rows are dealt to ranges of the order, which are summed first, so no task holds all rows. Sums are exact
-    if the columns are.
+    More than TASK_ROWS rows are dealt to ranges of the order, which are summed first, so no task holds all rows; there are no more ranges
+    than the rows need, as the driver keeps something of every task. Sums are exact if the columns are.
     """
     before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    if df.limit(TASK_ROWS + 1).count() <= TASK_ROWS:
+    n = df.count()
+    if n <= TASK_ROWS:
         return df.withColumns({name: before(c, Window.orderBy(*order)) for c, name in sums.items()})
-    ranges = partitions(df.sparkSession)
+    ranges = min(partitions(df.sparkSession), -(-n // TASK_ROWS))
     d = cut(df.repartitionByRange(ranges, *order).withColumn("_p", F.spark_partition_id()), "mix-ranges")
     per = d.groupBy("_p").agg(*[F.sum(c).alias(c) for c in sums])
     per = per.select("_p", *[before(c, Window.orderBy("_p")).alias(f"_all_{c}") for c in sums])  # as many rows as ranges
@@ -114,6 +115,7 @@ def shard_counts(quotas: DataFrame, shard_slots: int, seed: int = SEED) -> DataF
     drawn = slots.select(F.floor(F.col("id") / shard_slots).alias("shard"), F.pmod(F.xxhash64(F.lit(seed), F.lit("draw"), "id"), F.lit(max(total, 1))).alias("_x"))
     drawn = drawn.withColumn("_cell", F.floor(F.col("_x") / width)).join(lists, "_cell").where("_x >= _lo AND _x < _lo + quota")
     counts = cut(drawn.groupBy("shard", "sid").agg(F.count(F.lit(1)).alias("n")), "mix-draws")
+    release(spark)
     c = running(counts, [F.col("sid"), F.col("shard")], {"n": "_before"})
     got = c.groupBy("sid").agg(F.sum("n").alias("drawn"), F.min("_before").alias("_base"))
     c = c.join(got.join(quotas.select("sid", "quota"), "sid"), "sid")
@@ -133,6 +135,7 @@ def shard_counts(quotas: DataFrame, shard_slots: int, seed: int = SEED) -> DataF
 def draw(sources: DataFrame, shard_slots: int, seed: int = SEED) -> DataFrame:
     """(shard, sid, block, pass) for sources (sid, blocks, quota): the plan of the mix, one row a slot."""
     counts = cut(shard_counts(sources.select("sid", "quota"), shard_slots, seed), "mix-plan")
+    release(counts.sparkSession)
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     counts = counts.join(sources.select("sid", "source", "blocks"), "sid").repartition(max(partitions(counts.sparkSession), total // TASK_SLOTS), "shard", "sid")
     j = counts.select("shard", "sid", "source", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("_j"))
@@ -153,6 +156,7 @@ def mix(docs: DataFrame, *, block_words: int = 64, shard_slots: int = 4096, weig
     own = [c for c in docs.columns if c == "_tidelog_id"]  # goes along
     sized = docs.select(F.monotonically_increasing_id().alias("_id"), *own, "doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
     sizes = cut(sized, "mix-sizes")
+    release(docs.sparkSession)
     sources = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights=weights, share=share, cap=cap)
     n_blocks = F.ceil(F.col("source_size") / block_words)
     sources = sources.withColumn("blocks", n_blocks).withColumn("quota", F.when(F.col("source_size") > 0, F.least(F.round(F.col("target") * F.col("blocks") / F.col("source_size")), F.floor(cap * F.col("blocks")))).otherwise(0).cast("long"))
